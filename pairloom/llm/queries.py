@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import unify
+from pairloom.llm import fields, formatting, groups, mixing, topn, unify
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,3 +29,83 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_plain_forms(spark: SparkSession, d: str) -> DataFrame:
     return unify.plain_form(table(spark, d, "candidates"), "row_id", ["query", "positive"]).select("row_id", "field", "plain")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return formatting.copy_pairs(table(spark, d, "grounded_synthetic_query_factory"), "row_id", "positive_normalized", "provenance_json")
+
+
+@query
+def p5_copies(spark: SparkSession, d: str) -> DataFrame:
+    return formatting.formatting_classes(table(spark, d, "grounded_synthetic_query_factory"), "row_id", "positive_normalized", "provenance_json")[0]
+
+
+def _top_scores(spark, d):
+    return topn.top_n(table(spark, d, "cache_qwen3_reranker_scores"), "generated_id", "candidate_id", "scored_at", "score_row_id", "retriever_score", 5)
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _top_scores(spark, d).select(F.col("row_key").alias("score_row_id"))
+
+
+_P4 = """
+WITH latest AS (
+  SELECT generated_id, candidate_id, score_row_id, retriever_score + 0.0 AS s,
+         row_number() OVER (PARTITION BY generated_id, candidate_id ORDER BY scored_at DESC NULLS LAST, score_row_id DESC) AS rn
+  FROM cache_qwen3_reranker_scores),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY generated_id ORDER BY s DESC, candidate_id NULLS LAST, score_row_id) AS r
+  FROM latest WHERE rn = 1 AND s IS NOT NULL AND NOT isnan(s) AND NOT isinf(s))
+"""
+SQL["p4_found"] = _P4 + "SELECT score_row_id FROM ranked WHERE r <= 5"
+
+
+@query
+def p4_top_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _top_scores(spark, d).select(F.col("grp").alias("generated_id"), F.col("item").alias("candidate_id"), F.col("row_key").alias("score_row_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+SQL["p4_top_scores"] = _P4 + "SELECT generated_id, candidate_id, score_row_id, s AS score, r AS rank FROM ranked WHERE r <= 5"
+
+
+def _p2_links(spark, d):
+    return table(spark, d, "candidates").select(
+        "row_id",
+        fields.repository(F.col("provenance.repository")).alias("repository"),
+        fields.digest(F.col("provenance.source_document_sha256")).alias("document"),
+    )
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    links = _p2_links(spark, d).where("repository is not null and document is not null")
+    edges = links.select(F.concat(F.lit("0:"), "repository").alias("a"), F.concat(F.lit("1:"), "document").alias("b"))
+    pairs = groups.linked_pairs(groups.components(edges), "0:")
+    return pairs.withColumnsRenamed({"name_a": "repository_a", "name_b": "repository_b"})
+
+
+@query
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    return groups.assign_splits(_p2_links(spark, d), "row_id", ["repository", "document"], {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+def _allotted(spark, d):
+    return mixing.allotment(table(spark, d, "training_data_audit"), mixing.usable_records(table(spark, d, "candidates")))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _allotted(spark, d).where("short").select("phase", "source_id")
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    s = mixing.shares(_allotted(spark, d))
+    return s.select("audit_id", "phase", "source_id", "want", "given", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"))
+
+
+@query
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, d, "training_data_audit"), mixing.usable_records(table(spark, d, "candidates")))
