@@ -62,7 +62,6 @@ def _letter_block(cp: int) -> bool:
     return 0x2160 <= cp <= 0x217F or 0xFB00 <= cp <= 0xFB06 or cp in (0x212A, 0x212B)
 
 
-@lru_cache(maxsize=None)
 def plain_char(cp: int) -> tuple[int, ...]:
     """Plain spelling of one code point, fully decomposed; () if it is invisible."""
     if is_invisible(cp):
@@ -80,6 +79,7 @@ def plain_char(cp: int) -> tuple[int, ...]:
     return (ord(IMITATORS.get(ch, ch)),)
 
 
+@lru_cache(maxsize=None)
 def changed_chars() -> dict[int, tuple[int, ...]]:
     """Code points whose plain spelling after recomposition is another string."""
     out = {}
@@ -129,10 +129,22 @@ def ranges(cps: set[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Blocks most text is written in, the commonest first.
+COMMON_BLOCKS = [(0x20, 0x7E), (0xAC00, 0xD7A3), (0x09, 0x0D), (0x4E00, 0x9FFF), (0xB0, 0xFF), (0x3001, 0x301F), (0x3041, 0x3096), (0x30A1, 0x30FA)]
+
+
 @lru_cache(maxsize=None)
-def java_class() -> str:
-    """The unstable characters as the inside of a Java character class."""
-    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges(tables()["unstable"]))
+def java_common() -> str:
+    """Common stable characters as the inside of a Java character class.
+
+    A class of all unstable characters has some 400 ranges, which Java tries one by one;
+    these few ranges are the stable part of the common blocks. A stable character
+    outside of them is merely looked at and comes back as it was.
+    """
+    unstable, out = tables()["unstable"], []
+    for lo, hi in COMMON_BLOCKS:
+        out += ranges({cp for cp in range(lo, hi + 1) if cp not in unstable})
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
 
 
 @lru_cache(maxsize=None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fields, formatting, groups, mixing, topn, unify
+from pairloom.llm import fields, formatting, groups, mixing, packing, tokens, topn, unify
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -109,3 +109,26 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(spark, table(spark, d, "training_data_audit"), mixing.usable_records(table(spark, d, "candidates")))
+
+
+CAPACITY = 2048
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _packed(spark, d):
+    sizes = tokens.encode(table(spark, d, "documents"), "doc_id", "text", with_ids=False)
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+@query
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d), "n_tokens", CAPACITY)

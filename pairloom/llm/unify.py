@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.glyphs import java_class, tables
+from pairloom.llm.glyphs import java_common, tables
 
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
 
@@ -95,18 +95,18 @@ def plain_form(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         F.col(key).alias("__key"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("stored")) for c in columns])).alias("t"),
     ).select("__key", "t.field", "t.stored").where(F.col("stored").isNotNull())
-    unstable = java_class()
-    odd = F.col("stored").rlike(f"[{unstable}]")
+    common = java_common()
+    odd = F.col("stored").rlike(f"[^{common}]")
     # a run to copy ends before the character that an unstable one may compose with
-    pattern = f"(?s)[^{unstable}]?[{unstable}]+|[^{unstable}]+?(?=[^{unstable}][{unstable}]|\\z)"
+    pattern = f"(?s)[{common}]?[^{common}]+|[{common}]+?(?=[{common}][^{common}]|\\z)"
     tokens = long.where(odd).select(
         "__key", "field", F.posexplode(F.regexp_extract_all("stored", F.lit(pattern), 0)).alias("at", "token")
     )
-    clusters = tokens.where(F.col("token").rlike(f"[{unstable}]")).select("token").distinct()
+    clusters = tokens.where(F.col("token").rlike(f"[^{common}]")).select("token").distinct()
     plain = plain_clusters(clusters)
     rebuilt = (
         tokens.join(plain.withColumnRenamed("token", "__t"), F.col("token") == F.col("__t"), "left")
-        .withColumn("piece", F.when(F.col("token").rlike(f"[{unstable}]"), F.coalesce("plain_token", F.lit(""))).otherwise(F.col("token")))
+        .withColumn("piece", F.when(F.col("token").rlike(f"[^{common}]"), F.coalesce("plain_token", F.lit(""))).otherwise(F.col("token")))
         .groupBy("__key", "field")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("plain"))
     )
