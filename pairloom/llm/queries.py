@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fields, formatting, groups, mixing, packing, tokens, topn, unify
+from pairloom.llm import fields, formatting, groups, leaks, mixing, packing, tokens, topn, unify
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -132,3 +132,14 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), "n_tokens", CAPACITY)
+
+
+def _held_out(spark, d):
+    rows = table(spark, d, "candidates").withColumn("split", fields.split_name(F.col("split")))
+    ok = F.col("split").isin("validation", "test") & ~fields.is_blank(F.col("query")) & ~fields.is_blank(F.col("positive"))
+    return rows.where(ok).select("row_id", fields.query_body(F.col("query")).alias("query"), "positive", "split", "source_id")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), _held_out(spark, d))
