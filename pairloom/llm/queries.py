@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fields, formatting, groups, leaks, mixing, packing, tokens, topn, unify
+from pairloom.llm import fields, formatting, groups, leaks, mixing, overlap, packing, tokens, topn, unify
+from pairloom.session import materialize
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -143,3 +144,34 @@ def _held_out(spark, d):
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), _held_out(spark, d))
+
+
+def _overlap_base(spark, d):
+    rows = table(spark, d, "candidates").withColumn("split", fields.split_name(F.col("split")))
+    rows = rows.where(F.col("split").isNotNull() & ~fields.is_blank(F.col("query")) & ~fields.is_blank(F.col("positive")))
+    rows = rows.withColumn("side", F.when(F.col("split") == "train", "a").otherwise("b")).withColumn("query", fields.query_body(F.col("query")))
+    return materialize(overlap.records(rows, 0.8), "records")
+
+
+def _overlap_rows(spark, d):
+    base = _overlap_base(spark, d)
+    pairs = overlap.class_pairs(base)
+    a = base.where("side = 'a'").select(F.col("cls").alias("cls_a"), F.col("row_id").alias("row_id_a"))
+    b = base.where("side = 'b'").select(F.col("cls").alias("cls_b"), F.col("row_id").alias("row_id_b"))
+    return pairs.join(a, "cls_a").join(b, "cls_b").select("row_id_a", "row_id_b")
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap_rows(spark, d)
+
+
+@query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out rows with an equal or near train row, per split and source."""
+    rows = table(spark, d, "candidates").select(F.col("row_id").alias("row_id_b"), fields.split_name(F.col("split")).alias("split"), fields.source_name(F.col("source_id")).alias("source_id"))
+    met = _overlap_rows(spark, d).groupBy("row_id_b").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.where(F.col("split").isin("validation", "test")).join(met, "row_id_b", "left")
+    return held.groupBy("split", "source_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("n").alias("overlapping_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_links")
+    )
