@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import fields, formatting, groups, leaks, mixing, overlap, packing, tokens, topn, unify
+from pairloom.llm import fields, formatting, groups, leaks, mixing, overlap, packing, pii, tokens, topn, unify
 from pairloom.session import materialize
 
 QUERIES: dict = {}
@@ -175,3 +175,13 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("split", "source_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count("n").alias("overlapping_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_links")
     )
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+@query
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), "doc_id", "text")
