@@ -1,4 +1,8 @@
 """All queries over the reference operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pairloom.plans import base, texts  # noqa: F401
+
+QUERIES: dict = base.QUERIES
+SQL: dict = base.SQL
