@@ -120,14 +120,13 @@ def provenance_row_hash_audit(spark, d):
     return dense_order(p.select("row_id", h.alias("row_sha256")), "row_id").select("row_id", "row_sha256", (F.col("slot") == F.col("row_id") - 1).alias("index_ok"))
 
 
-@query("""WITH a AS (SELECT id FROM candidates WHERE id IS NOT NULL), b AS (SELECT candidate_id AS id FROM cache_qwen3_reranker_scores WHERE candidate_id IS NOT NULL)
-SELECT DISTINCT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'left' ELSE 'right' END AS side FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL""")
+@query("""WITH a AS (SELECT DISTINCT generated_id AS id FROM grounded_synthetic_query_factory), b AS (SELECT DISTINCT generated_id AS id FROM cache_qwen3_reranker_scores)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'left' ELSE 'right' END AS side FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL""")
 def misaligned_ids(spark, d):
     from pairloom.sources.readers import misaligned
 
-    a = table(spark, d, "candidates").where("id is not null").select("id").distinct()
-    b = table(spark, d, "cache_qwen3_reranker_scores").where("candidate_id is not null").select(F.col("candidate_id").alias("id")).distinct()
-    return misaligned(a, b, "id")
+    ids = lambda name: table(spark, d, name).select(F.col("generated_id").alias("id")).distinct()
+    return misaligned(ids("grounded_synthetic_query_factory"), ids("cache_qwen3_reranker_scores"), "id")
 
 
 @query(f"""SELECT doc_id, CASE
