@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.plans import base, cleaning, decontam, texts  # noqa: F401
+from pairloom.plans import base, cleaning, decontam, ranking, texts, vectors  # noqa: F401
 
 QUERIES: dict = base.QUERIES
 SQL: dict = base.SQL
