@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import stable_hash
+from pairloom.operators.numbering import number_in_order
 
 HANGUL = "[가-힣]"
 
@@ -80,15 +81,11 @@ def capped(df: DataFrame, source: str, order: list[str], caps: dict[str, int], d
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.greatest(*[F.lit(x) for x in (default, *caps.values(), 0)])).where(F.col("__rn") <= limit).drop("__rn")
 
 
-def examined(df: DataFrame, source: str, order: list[str], accepted: Column, cap: int) -> DataFrame:
-    """Per source: accepted rows up to the cap, rows looked at until the cap was reached, rejects among them.
-
-    The order of rows decides what is looked at, so a source is numbered in one window.
-    """
-    w = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = df.withColumn("__ok", accepted.cast("int")).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__a", F.sum("__ok").over(w))
+def examined(df: DataFrame, source: str, order: list[Column], accepted: Column, cap: int) -> DataFrame:
+    """Per source: accepted rows up to the cap, rows looked at until the cap was reached, rejects among them."""
+    marked = number_in_order(df.withColumn("__ok", accepted.cast("int")), [source], order, "__n", {"__before": F.col("__ok")})
     # a row is looked at while fewer than `cap` rows before it were accepted
-    seen = marked.where(F.col("__a") - F.col("__ok") < cap)
+    seen = marked.where(F.col("__before") < cap)
     return seen.groupBy(source).agg(F.count(F.lit(1)).alias("examined"), F.sum("__ok").alias("accepted"), F.sum(1 - F.col("__ok")).alias("rejected"))
 
 

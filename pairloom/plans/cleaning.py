@@ -86,7 +86,7 @@ def source_caps(spark, d):
 c AS (SELECT *, sum(ok) OVER (PARTITION BY source_id ORDER BY row_id) - ok AS before FROM m)
 SELECT source_id, count(*) AS examined, CAST(sum(ok) AS BIGINT) AS accepted, CAST(sum(1 - ok) AS BIGINT) AS rejected FROM c WHERE before < 60 GROUP BY 1""")
 def source_caps_examined(spark, d):
-    return cl.examined(_reasons(spark, d), "source_id", ["row_id"], F.col("reason").isNull(), 60)
+    return cl.examined(_reasons(spark, d), "source_id", [F.col("row_id")], F.col("reason").isNull(), 60)
 
 
 @query(f"""WITH {PAIRS_SQL}, x AS (SELECT row_id, CASE WHEN query IS NULL OR length(trim(query)) = 0 THEN 'empty_query' END AS a,

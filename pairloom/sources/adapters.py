@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import hash_number, stable_hash
-from pairloom.operators.numbering import number_within
+from pairloom.operators.numbering import number_in_order, number_within
 from pairloom.sources.readers import wide_columns
 
 
@@ -67,17 +67,8 @@ def cyclic_negatives(df: DataFrame, key: str, query: str, context: str, k: int)
 
 
 def dense_order(df: DataFrame, key: str) -> DataFrame:
-    """Add ``slot`` 0,1,2,… in order of ``key``: range partitions counted, then numbered apart."""
-    cut = df.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    from pairloom.session import materialize
-
-    cut = materialize(cut, "ordered")
-    sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select(F.col("__part").alias("__p"), "n").withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = Window.partitionBy("__part").orderBy(key)
-    numbered = cut.withColumn("__rn", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(starts.select("__p", "skip")), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("skip") + F.col("__rn")).alias("slot"))
+    """Add ``slot`` 0,1,2,… in order of ``key``."""
+    return number_in_order(df, [], [F.col(key)], "slot")
 
 
 def beir_pairs(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, above: float = 0) -> DataFrame:
