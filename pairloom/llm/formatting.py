@@ -18,9 +18,13 @@ def canonical_text(c: Column) -> Column:
 def canonical_json(c: Column) -> Column:
     """One spelling of a JSON value: sorted fields, no blanks, no escapes.
 
-    Text that is no JSON stands for itself; a leading mark keeps it apart from JSON.
+    Text that is no JSON, or more than one value, stands for itself; a leading mark keeps
+    it apart from JSON.
     """
-    return F.coalesce(F.to_json(F.try_parse_json(c)), F.concat(F.lit("\u0001"), c))
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    at = lambda i: F.try_variant_get(v, f"$[{i}]", "variant")
+    one = at(0).isNotNull() & at(1).isNull()
+    return F.coalesce(F.when(one, F.to_json(v)), F.concat(F.lit("\u0001"), c))
 
 
 def _raw_key(text: str, record: str) -> Column:
