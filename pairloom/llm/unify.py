@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.llm.glyphs import java_common, tables
+from pairloom.session import materialize
 
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
 
@@ -86,10 +87,11 @@ def plain_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def plain_form(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Long table ``(key, field, stored, plain)`` with one row per non-null text.
+    """Long table ``(key, field, stored, plain)`` with one row per row and non-null text.
 
-    ``key`` must be unique. Null texts give no row; empty and blank texts give their
-    own plain form; other columns of ``df`` are not carried, so their names cannot clash.
+    Null texts give no row; empty and blank texts give their own plain form; repeated keys
+    keep their rows. Other columns of ``df`` are not carried, so their names cannot clash.
+    Copies of an unusual text are worked on once.
     """
     long = df.select(
         F.col(key).alias("__key"),
@@ -97,46 +99,42 @@ def plain_form(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     ).select("__key", "t.field", "t.stored").where(F.col("stored").isNotNull())
     common = java_common()
     odd = F.col("stored").rlike(f"[^{common}]")
-    # a run to copy ends before the character that an unstable one may compose with
+    # a run to copy ends before the character that an unusual one may compose with
     pattern = f"(?s)[{common}]?[^{common}]+|[{common}]+?(?=[{common}][^{common}]|\\z)"
-    tokens = long.where(odd).select(
-        "__key", "field", F.posexplode(F.regexp_extract_all("stored", F.lit(pattern), 0)).alias("at", "token")
-    )
-    clusters = tokens.where(F.col("token").rlike(f"[^{common}]")).select("token").distinct()
-    plain = plain_clusters(clusters)
+    texts = long.where(odd).select(F.sha2("stored", 256).alias("id"), "stored").dropDuplicates(["id"])
+    tokens = texts.select("id", F.posexplode(F.regexp_extract_all("stored", F.lit(pattern), 0)).alias("at", "token"))
+    tokens = materialize(tokens.withColumn("unusual", F.col("token").rlike(f"[^{common}]")), "tokens")
+    plain = plain_clusters(tokens.where("unusual").select("token").distinct())
     rebuilt = (
-        tokens.join(plain.withColumnRenamed("token", "__t"), F.col("token") == F.col("__t"), "left")
-        .withColumn("piece", F.when(F.col("token").rlike(f"[^{common}]"), F.coalesce("plain_token", F.lit(""))).otherwise(F.col("token")))
-        .groupBy("__key", "field")
+        tokens.join(plain.withColumnRenamed("token", "__t"), F.col("unusual") & (F.col("token") == F.col("__t")), "left")
+        .withColumn("piece", F.when(F.col("unusual"), F.coalesce("plain_token", F.lit(""))).otherwise(F.col("token")))
+        .groupBy("id")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("plain"))
     )
-    odd_rows = (
-        long.where(odd).alias("l")
-        .join(rebuilt.alias("r"), ["__key", "field"], "left")
-        .select("__key", "field", "stored", "plain")
-    )
+    odd_rows = long.where(odd).withColumn("id", F.sha2("stored", 256)).join(rebuilt, "id").select("__key", "field", "stored", "plain")
     same = long.where(~odd).select("__key", "field", "stored", F.col("stored").alias("plain"))
     return same.unionByName(odd_rows).withColumnRenamed("__key", key)
 
 
 def same_look_pairs(forms: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows whose text is equal in plain form but not as stored.
+    """``(field, row_id_a, row_id_b)``: rows whose text is equal in plain form but not as stored.
 
-    Input is ``plain_form``'s table. Groups of exact copies meet as one variant per
-    stored text; only variants of one plain form are paired, then expanded to the rows.
-    Blank texts (white space only, in plain form) are no cases.
+    Input is ``plain_form``'s table. Forms are known by two 64-bit hashes. Forms with one
+    spelling drop out before rows are paired, so exact copies alone make no pairs; each
+    pair of rows with two spellings of one form comes out once, smaller key first. Blank
+    texts (in plain form) are no cases.
     """
-    used = forms.where(F.length(F.trim(F.regexp_replace("plain", "(?U)\\s+", ""))) > 0)
-    ids = used.select(
-        F.col(key).alias("row_id"), "field",
-        F.xxhash64("field", "plain").alias("look"), F.sha2("stored", 256).alias("variant"), F.sha2("plain", 256).alias("plain_sha"),
-    )
-    variants = ids.groupBy("field", "look", "plain_sha").agg(F.min("variant").alias("v0"), F.max("variant").alias("v1"))
-    mixed = variants.where(F.col("v0") != F.col("v1")).select("field", "look", "plain_sha")
-    rows = ids.join(mixed, ["field", "look", "plain_sha"], "left_semi")
+    used = forms.where(F.col("plain").rlike("(?U)[^\\s]"))
+    twice = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
+    (p1, p2), (v1, v2) = twice("plain"), twice("stored")
+    ids = materialize(used.select(F.col(key).alias("row_id"), "field", p1.alias("p1"), p2.alias("p2"), v1.alias("v1"), v2.alias("v2")), "forms")
+    look = ["field", "p1", "p2"]
+    spelt = ids.groupBy(*look).agg(*[f(v).alias(f"{n}{v}") for v in ("v1", "v2") for n, f in (("lo", F.min), ("hi", F.max))])
+    mixed = spelt.where("lov1 <> hiv1 or lov2 <> hiv2").select(*look)
+    rows = ids.join(mixed, look, "left_semi")
     a, b = rows.alias("a"), rows.alias("b")
-    return a.join(
-        b,
-        (F.col("a.field") == F.col("b.field")) & (F.col("a.plain_sha") == F.col("b.plain_sha"))
-        & (F.col("a.variant") != F.col("b.variant")) & (F.col("a.row_id") < F.col("b.row_id")),
-    ).select(F.col("a.field").alias("field"), F.col("a.row_id").alias("row_id_a"), F.col("b.row_id").alias("row_id_b"))
+    one = (F.col("a.field") == F.col("b.field")) & (F.col("a.p1") == F.col("b.p1")) & (F.col("a.p2") == F.col("b.p2"))
+    other = (F.col("a.v1") != F.col("b.v1")) | (F.col("a.v2") != F.col("b.v2"))
+    return a.join(b, one & other & (F.col("a.row_id") < F.col("b.row_id"))).select(
+        F.col("a.field").alias("field"), F.col("a.row_id").alias("row_id_a"), F.col("b.row_id").alias("row_id_b")
+    )
