@@ -74,6 +74,16 @@ def window_hashes(sums: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of any length; the length is part of it."""
+    _, down = POWERS.upto(len(sums))
+    with np.errstate(over="ignore"):
+        h = (sums[end] - sums[start]) * down[start] + (end - start).astype("uint64") * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
 def pattern_rows(windows: list[str], m: int, b: int):
     """Of patterns cut to their first ``m`` characters: window hashes, and (slot, shift) minima."""
     codes, start = codes_of(windows)
