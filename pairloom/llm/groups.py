@@ -105,7 +105,7 @@ def deal(sizes: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple[i
 
     Returns ``(size, groups, split)`` runs in dealing order. Each group goes to the
     split furthest below its target (in rows), ties to the one named first. Groups of
-    one size are dealt in closed form where all splits stay furthest in turn.
+    one size are dealt in laps over the splits that are level.
     """
     total = sum(s * n for s, n in sizes)
     names = list(shares)
@@ -113,23 +113,15 @@ def deal(sizes: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple[i
     runs: list[tuple[int, int, str]] = []
     for size, n in sorted(sizes, reverse=True):
         while n:
-            to = max(names, key=lambda k: (gap[k], -names.index(k)))
-            others = [gap[k] for k in names if k != to]
-            ahead = gap[to] - max(others) if others else float("inf")
-            take = n if not others else min(n, max(1, int(ahead // size)))
-            if take == 1 and n > 10_000:
-                # all gaps are level: one lap hands each split its share of the lap
-                lap = n // 2
-                want = {k: max(0, int(lap * shares[k] / sum(shares.values()))) for k in names}
-                for k, c in want.items():
-                    if c:
-                        runs.append((size, c, k))
-                        gap[k] -= c * size
-                        n -= c
-                continue
-            runs.append((size, take, to))
-            gap[to] -= take * size
-            n -= take
+            top = max(gap.values())
+            level = [k for k in names if gap[k] > top - size]  # dealt in turn, so they sink together
+            lower = [gap[k] for k in names if k not in level]
+            laps = int(min((top - max(lower)) // size if lower else n, n // len(level)))
+            for k in level if laps else [max(level, key=lambda k: gap[k])]:
+                take = laps or 1
+                runs.append((size, take, k))
+                gap[k] -= take * size
+                n -= take
     return runs
 
 

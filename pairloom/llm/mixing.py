@@ -3,8 +3,9 @@
 Method: the output is cut in shards; multinomial draws (conditioned on the exact totals
 of the plan) say how many slots of a shard each source fills; slot ``k`` of a source is
 mapped to a record by a pseudorandom permutation of ``0..n-1`` per source and repeat, and
-records are joined by their dense index. The unit of a plan here is one record, so a
-block holds one record; nothing is drawn by sorting or by a window over a source.
+records are joined by their dense index. The unit of the plans here is one record, so a
+block is one record; ``token_blocks`` packs the token streams of sources to blocks of a fixed
+length, which ``mix`` takes just the same.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.fields import is_blank, source_name, split_name
-from pairloom.operators.numbering import number_within
+from pairloom.operators.numbering import number_in_order, number_within
 
 MAX_SHARDS = 4096
 
@@ -132,3 +133,22 @@ def mix(spark: SparkSession, plans: DataFrame, records: DataFrame, shard_rows: i
     return mapped.join(indexed, ["source_id", "nth"]).select(
         "audit_id", "phase", "shard", F.xxhash64("audit_id", "source_id", "k").alias("at"), "source_id", "row_id", "repeat"
     )
+
+
+def token_blocks(records: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """``(source_id, row_id, pieces)``: the token stream of each source cut in blocks of ``block`` tokens.
+
+    ``records(source_id, row_id)``, ``sizes(row_id, n_tokens)``. ``row_id`` of the result
+    numbers the blocks of a source from 0; ``pieces`` lists (record, first token, tokens) in
+    order. The rest of a source that fills no block is left out; records without tokens
+    are in no block.
+    """
+    sized = records.join(sizes, "row_id").where("n_tokens > 0").select("source_id", "row_id", "n_tokens")
+    placed = number_in_order(sized, ["source_id"], [F.col("row_id")], "nth", {"begin": F.col("n_tokens")})
+    last = F.expr(f"(begin + n_tokens - 1) div {block}")
+    cut = placed.withColumn("no", F.explode(F.sequence(F.expr(f"begin div {block}"), last)))
+    start = F.greatest(F.col("begin"), F.col("no") * block)
+    end = F.least(F.col("begin") + F.col("n_tokens"), (F.col("no") + 1) * block)
+    piece = F.struct("begin", F.col("row_id").alias("record"), (start - F.col("begin")).alias("first"), (end - start).alias("tokens"))
+    made = cut.groupBy("source_id", "no").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.sum(end - start).alias("n"))
+    return made.where(F.col("n") == block).select("source_id", F.col("no").alias("row_id"), F.transform("pieces", lambda p: p.dropFields("begin")).alias("pieces"))

@@ -185,3 +185,42 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def p7_token_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 512 tokens of the usable records of each source, and the mix over them."""
+    c = table(spark, d, "candidates")
+    sizes = tokens.encode(c.select("row_id", F.concat_ws("\n", "query", "positive").alias("text")), "row_id", "text", with_ids=False)
+    blocks = materialize(mixing.token_blocks(mixing.usable_records(c), sizes, 512), "blocks")
+    made = mixing.mix(spark, table(spark, d, "training_data_audit"), blocks.select("source_id", "row_id"))
+    return made.withColumnRenamed("row_id", "block")
+
+
+_NAMES = ["nlpai_ko_triplet", "webfaq_ko_pairs", "community_qa_ko", "statute_sections", "instruct_ko_mix", "news_topic_ko", "finance_qa_ko", "health_faq_ko", "sts_ko_pairs", "strategy_qa_ko", "longdoc_ko_train", "tidy_ko_train", "banking_intent_ko", "replay_multi"]
+_P7 = (
+    "WITH e AS (" + " UNION ALL ".join(f"SELECT audit_id, phase, max_repeats, '{s}' AS source_id, source_counts.{s} AS want FROM training_data_audit WHERE source_counts.{s} IS NOT NULL" for s in _NAMES)
+    + r"""), r AS (SELECT regexp_replace(lower(trim(source_id)), '[ _-]+', '_', 'g') AS source_id, count(*) AS have FROM candidates
+  WHERE lower(trim(split)) = 'train' AND regexp_matches(query, '[^\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]') AND regexp_matches(positive, '[^\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]') GROUP BY 1),
+a AS (SELECT e.*, coalesce(have, 0) * max_repeats AS capacity FROM e LEFT JOIN r USING (source_id))
+"""
+)
+SQL["p7_found"] = _P7 + "SELECT phase, source_id FROM a WHERE capacity < want"
+SQL["p7_shares"] = _P7 + """, g AS (SELECT *, least(want, capacity) AS given FROM a)
+SELECT audit_id, phase, source_id, want, given, round(want / nullif(sum(want) OVER (PARTITION BY audit_id), 0), 9) AS target_share,
+  round(given / nullif(sum(given) OVER (PARTITION BY audit_id), 0), 9) AS actual_share FROM g"""
+
+_P2 = r"""WITH RECURSIVE l AS (SELECT trim(provenance.repository) AS r, regexp_replace(lower(trim(provenance.source_document_sha256)), '^[a-z0-9_-]+:\s*', '') AS h FROM candidates),
+k AS (SELECT DISTINCT r, h FROM l WHERE lower(r) NOT IN ('', 'unknown', 'n/a') AND h NOT IN ('', 'unknown', 'n/a', 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855', repeat('0', 64))),
+e AS (SELECT DISTINCT x.r AS a, y.r AS b FROM k x JOIN k y ON x.h = y.h AND x.r <> y.r),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT a AS repository_a, b AS repository_b FROM reach WHERE a < b"""
+SQL["p2_found"] = _P2
+
+_P5 = r"""WITH c AS (SELECT row_id, regexp_replace(lower(positive_normalized), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\pP]+', '', 'g') AS t, provenance_json AS j
+  FROM grounded_synthetic_query_factory WHERE positive_normalized IS NOT NULL),
+f AS (SELECT c.row_id, string_agg(x.fullkey || '=' || json_extract_string(c.j, x.fullkey), chr(1) ORDER BY x.fullkey) AS j FROM c, json_tree(c.j) x WHERE x.type NOT IN ('OBJECT', 'ARRAY') GROUP BY 1),
+g AS (SELECT c.row_id, min(c.row_id) OVER (PARTITION BY c.t, f.j) AS a, count(*) OVER (PARTITION BY c.t, f.j) AS n FROM c LEFT JOIN f USING (row_id))
+"""
+SQL["p5_found"] = _P5 + "SELECT a AS row_id_a, row_id AS row_id_b FROM g WHERE a <> row_id"
+SQL["p5_copies"] = _P5 + "SELECT a AS representative, n AS copies FROM g WHERE a = row_id"
