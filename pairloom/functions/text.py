@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Characters without width that benchmark normalization drops.
 ZERO_WIDTH = "​‌‍⁠﻿"
-#: Substrings that mark a query as a question.
-QUESTION_MARKS = ["?", "？", "나요", "까요", "인가", "어떻게", "무엇", "how ", "How ", "what ", "What ", "why "]
+# Substrings that mark a query as a natural question.
+QUESTION_MARKS = ["?", "까", "나요", "인가요", "어떻게", "무엇", "뭐", "왜", "언제", "어디", "누가", "몇"]
 
 
 def squash(c: Column) -> Column:
@@ -54,15 +54,14 @@ def semantic_body(q: Column) -> Column:
 
 
 def profile_split(q: Column) -> tuple[Column, Column]:
-    """(instruction, body), cut at the first line break before ``Query:``."""
+    """(instruction, body): cut at the first line break before ``Query:``; a one-line
+    instructed query is cut at its last ``Query:``; other queries are unprompted."""
     at = F.locate("\nQuery:", q)
-    head = strip(F.substring(q, F.lit(1), at - 1))
-    body = strip(F.substring(q, at + 7, F.lit(1 << 30)))
-    stored = strip(q).startswith("Instruct:")
-    return (
-        F.when(stored & (at > 0), head).when(stored & q.contains("Query:"), "inline").otherwise("unprompted"),
-        F.when(stored & (at > 0), body).otherwise(semantic_body(q)),
-    )
+    inline = strip(q).startswith("Instruct:") & q.contains("Query:")
+    last = F.substring_index(q, "Query:", -1)
+    head = F.when(at > 0, F.substring(q, F.lit(1), at - 1)).when(inline, F.substring(q, F.lit(1), F.length(q) - F.length(last) - 6)).otherwise("unprompted")
+    body = F.when(at > 0, F.substring(q, at + 7, F.lit(1 << 30))).when(inline, last).otherwise(q)
+    return strip(head), strip(body)
 
 
 def stored_instruction_stripped(q: Column) -> Column:
@@ -82,12 +81,16 @@ def occurrences(c: Column, what: str) -> Column:
 
 
 def query_style(q: Column) -> Column:
-    """comma_list, question, short (at most 40 code points) or long, first that holds."""
+    """Keyword list (two commas of one kind), natural question, short (at most 40 code
+    points) or long: the first that holds for the stripped query."""
+    q = strip(q)
     commas = (occurrences(q, ",") >= 2) | (occurrences(q, "，") >= 2)
     asks = F.lit(False)
     for w in QUESTION_MARKS:
         asks = asks | q.contains(w)
-    return F.when(commas, "comma_list").when(asks, "question").when(F.length(q) <= 40, "short").otherwise("long")
+    return (
+        F.when(commas, "comma_keyword_list").when(asks, "natural_question").when(F.length(q) <= 40, "short_search_or_title").otherwise("long_statement_or_search")
+    )
 
 
 def stable_hash(*parts: Column) -> Column:

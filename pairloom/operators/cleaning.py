@@ -12,23 +12,30 @@ HANGUL = "[가-힣]"
 
 
 def clean_reason(
-    query: Column, positive: Column, negatives: Column, least_query: int = 2, least_text: int = 10, most_text: int = 4000, script: str | None = HANGUL, least_negatives: int = 0
+    query: Column, positive: Column, negatives: Column, least_query: int = 2, least_text: int = 10, most_text: int = 4000, script: str | None = HANGUL
 ) -> Column:
     """The first reason to drop a row, in fixed order; null for a row that stays.
 
-    missing_or_short, non_script_query, missing_or_short_negative, document_too_long.
+    missing_or_short (also without any negative that differs from the positive),
+    non_korean_query (no character of ``script``), missing_or_short_negative (none of
+    allowed length), document_too_long. ``query`` is the body without instruction.
     """
-    kept = usable_negatives(positive, negatives, least_text)
-    too_long = (F.length(positive) > most_text) | F.exists(kept, lambda n: F.length(n) > most_text)
-    reason = F.when(query.isNull() | positive.isNull() | (F.length(query) < least_query) | (F.length(positive) < least_text), "missing_or_short")
+    some = distinct_negatives(positive, negatives)
+    short = query.isNull() | positive.isNull() | (F.length(query) < least_query) | (F.length(positive) < least_text) | (F.size(some) == 0)
+    reason = F.when(F.coalesce(short, F.lit(True)), "missing_or_short")
     if script:
-        reason = reason.when(~query.rlike(script), "non_script_query")
-    return reason.when(F.size(kept) < least_negatives, "missing_or_short_negative").when(too_long, "document_too_long")
+        reason = reason.when(~query.rlike(script), "non_korean_query")
+    fits = usable_negatives(positive, negatives, least_text, most_text)
+    return reason.when(F.size(fits) == 0, "missing_or_short_negative").when(F.length(positive) > most_text, "document_too_long")
 
 
-def usable_negatives(positive: Column, negatives: Column, least_text: int) -> Column:
-    """Distinct negatives of enough length that differ from the positive."""
-    return F.filter(F.array_distinct(F.coalesce(negatives, F.array().cast("array<string>"))), lambda n: n.isNotNull() & (n != positive) & (F.length(n) >= least_text))
+def distinct_negatives(positive: Column, negatives: Column) -> Column:
+    """Negatives that are not empty and differ from the positive, each once, in order."""
+    return F.filter(F.array_distinct(F.coalesce(negatives, F.array().cast("array<string>"))), lambda n: n.isNotNull() & (n != positive) & (n != ""))
+
+
+def usable_negatives(positive: Column, negatives: Column, least_text: int, most_text: int) -> Column:
+    return F.filter(distinct_negatives(positive, negatives), lambda n: F.length(n).between(least_text, most_text))
 
 
 def sampled_negatives(key: Column, negatives: Column, k: int, seed: str) -> Column:
@@ -37,15 +44,13 @@ def sampled_negatives(key: Column, negatives: Column, k: int, seed: str) -> Colu
     return F.transform(F.slice(ranked, 1, k), lambda x: x["n"])
 
 
-def triplet_reason(query: Column, positive: Column, negative: Column, least: int = 2, most: int = 4000) -> Column:
-    """Reasons of the plain triplet filter: short, non_script, too_long, positive_equals_negative."""
-    lengths = [F.length(c) for c in (query, positive, negative)]
+def triplet_reason(query: Column, positive: Column, negative: Column, least_query: int = 2, least_text: int = 10, most_text: int = 4000) -> Column:
+    """Reasons of the plain triplet filter, first that holds; duplicates are left to ``first_seen``."""
+    short = query.isNull() | positive.isNull() | negative.isNull() | (F.length(query) < least_query) | (F.least(F.length(positive), F.length(negative)) < least_text)
     return (
-        F.when(query.isNull() | positive.isNull() | negative.isNull() | (F.least(*lengths) < least), "short")
-        .when(~(query.rlike(HANGUL) & positive.rlike(HANGUL)), "non_script")
-        .when(F.greatest(*lengths) > most, "too_long")
-        .when(positive == negative, "positive_equals_negative")
-    )
+        F.when(F.coalesce(short, F.lit(True)), "missing_or_short").when(~query.rlike(HANGUL), "non_korean_query")
+        .when(F.greatest(F.length(positive), F.length(negative)) > most_text, "document_too_long").when(positive == negative, "positive_equals_negative")
+    )
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

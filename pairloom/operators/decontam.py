@@ -44,26 +44,25 @@ def matches(role_rows: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def is_critical(declared: Column) -> Column:
-    """A query-role hit on query text, or an evaluation text of a task that is not declared."""
-    query_hit = F.col("role").startswith("query") & F.array_contains("kinds", "query_text")
-    undeclared = F.size(F.array_except("evaluation_tasks", declared)) > 0
-    return query_hit | undeclared
+    """A hit on query text in any role, or an evaluation text of a task that is not declared."""
+    return F.array_contains("kinds", "query_text") | (F.size(F.array_except("evaluation_tasks", declared)) > 0)
 
 
 def overlap_audit(matched: DataFrame, source: str, tasks: str) -> DataFrame:
-    """Per source: distinct digests that are critical, expected (declared tasks only) or corpus exposure.
+    """Per source: distinct digests that are critical, expected (a declared task's text) or corpus exposure.
 
-    Declared tasks are united per source before they are compared.
+    Declared tasks are united per source before they are compared. A digest may be critical
+    and expected at once.
     """
     per_source = matched.groupBy(source).agg(F.array_distinct(F.flatten(F.collect_set(tasks))).alias("__declared"))
     m = matched.join(per_source, source)
     critical = is_critical(F.col("__declared"))
-    evaluation = F.size("evaluation_tasks") > 0
+    expected = F.size(F.array_intersect("evaluation_tasks", F.col("__declared"))) > 0
     digest = m.groupBy(source, "sha256").agg(
-        F.bool_or(critical).alias("critical"), F.bool_or(evaluation & ~critical).alias("expected"), F.bool_or(F.array_contains("kinds", "corpus_text")).alias("corpus")
+        F.bool_or(critical).alias("critical"), F.bool_or(expected).alias("expected"), F.bool_or(F.array_contains("kinds", "corpus_text")).alias("corpus")
     )
     return digest.groupBy(source).agg(
-        F.count_if("critical").alias("critical"), F.count_if(F.col("expected") & ~F.col("critical")).alias("expected"), F.count_if("corpus").alias("corpus"),
+        F.count_if("critical").alias("critical"), F.count_if("expected").alias("expected"), F.count_if("corpus").alias("corpus"),
         F.count(F.lit(1)).alias("digests"),
     )
 
@@ -71,8 +70,8 @@ def overlap_audit(matched: DataFrame, source: str, tasks: str) -> DataFrame:
 def overlap_status(critical: Column, expected: Column, corpus: Column) -> Column:
     """The ladder from worst to best."""
     return (
-        F.when(critical > 0, "critical_query_or_evaluation_text_overlap").when(expected > 0, "pass_with_declared_task_exposure")
-        .when(corpus > 0, "pass_with_retrieval_corpus_exposure").otherwise("pass")
+        F.when(critical > 0, "critical_query_or_evaluation_text_overlap").when(corpus > 0, "pass_with_retrieval_corpus_exposure")
+        .when(expected > 0, "pass_with_declared_train_family_exposure").otherwise("pass_no_exact_text_overlap")
     )
 
 

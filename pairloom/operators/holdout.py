@@ -28,23 +28,60 @@ def equal_quota(df: DataFrame, group: str, key: str, quota: int, seed: str) -> D
 
 
 def round_robin(df: DataFrame, source: str, key: str, target: int, seed: str, distinct: list[str], per_document: tuple[str, int] | None = None) -> DataFrame:
-    """Source-balanced greedy selection: sources in turn give their next admissible row.
+    """Source-balanced greedy selection of ``target`` rows: ``(source, key, pick)``.
 
-    Static conflicts are solved first, in parallel: of rows with an equal value in a
-    ``distinct`` column, only the first in round-robin order can be chosen, and of a
-    document at most its cap. What is left is ordered by (turn, source).
+    Sources in order of their names give, turn by turn, their next admissible row in stable
+    hash order: one whose ``distinct`` columns repeat no chosen value and whose document is
+    below its cap. What is admissible depends on all earlier picks, so the choice itself is
+    sequential; it needs the first rows of each source only. A source that runs out of
+    them before the end is read further, so the result is that of the whole tables.
     """
+    columns = [*distinct, *([per_document[0]] if per_document else [])]
     w = Window.partitionBy(source).orderBy(stable_hash(F.lit(seed), F.col(key)), key)
-    left = df.withColumn("turn", F.row_number().over(w))
-    for c in distinct:
-        first = Window.partitionBy(c).orderBy("turn", source, key)
-        left = left.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    if per_document:
-        c, most = per_document
-        first = Window.partitionBy(c).orderBy("turn", source, key)
-        left = left.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n")
-    again = left.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy("turn", key)))
-    return again.orderBy("turn", source).limit(target)
+    digests = [F.sha2(F.col(c).cast("string"), 256).alias(c) for c in columns]
+    ranked = df.where(F.col(source).isNotNull()).select(source, key, *digests, F.row_number().over(w).alias("__rn"))
+    reach = max(64, 2 * target // max(1, df.select(source).distinct().count()))
+    while True:
+        rows: dict = {}
+        for r in ranked.where(F.col("__rn") <= reach + 1).orderBy(source, "__rn").toLocalIterator():
+            rows.setdefault(r[source], []).append(r)
+        chosen, short = _turns(rows, target, reach, distinct, per_document)
+        if not short:
+            break
+        reach *= 4
+    kinds = dict(df.dtypes)
+    made = [(r[source], r[key], i) for i, r in enumerate(chosen)]
+    return df.sparkSession.createDataFrame(made, f"{source} {kinds[source]}, {key} {kinds[key]}, pick bigint")
+
+
+def _turns(rows: dict, target: int, reach: int, distinct: list[str], per_document) -> tuple[list, bool]:
+    """The greedy choice, and whether a source ended because only ``reach`` of its rows were read."""
+    seen: list[set] = [set() for _ in distinct]
+    held: dict = {}
+    at = dict.fromkeys(rows, 0)
+    chosen: list = []
+    open_sources = sorted(rows)
+    while open_sources and len(chosen) < target:
+        for s in list(open_sources):
+            if len(chosen) >= target:
+                break
+            while True:
+                if at[s] >= min(len(rows[s]), reach):
+                    if len(rows[s]) > reach:
+                        return chosen, True
+                    open_sources.remove(s)
+                    break
+                r = rows[s][at[s]]
+                at[s] += 1
+                if any(r[c] in have for c, have in zip(distinct, seen)) or (per_document and held.get(r[per_document[0]], 0) >= per_document[1]):
+                    continue
+                for c, have in zip(distinct, seen):
+                    have.add(r[c])
+                if per_document:
+                    held[r[per_document[0]]] = held.get(r[per_document[0]], 0) + 1
+                chosen.append(r)
+                break
+    return chosen, False
 
 
 def idf(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,10 +1,13 @@
-"""As-of and interval joins without inequality joins over all rows."""
+"""As-of and interval joins without inequality joins over all rows; joins with hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.numbering import number_within
+from pairloom.session import materialize
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, carry: list[str]) -> DataFrame:
     """Each left row with the last right row of its keys at or before it; nulls where there is none.
@@ -32,3 +35,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
     b = right.withColumn("__b", bucket(at))
     near = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(start) + F.make_dt_interval(secs=F.lit(seconds)))
     return a.join(b, [*keys, "__b"]).where(near).drop("__b")
+
+
+def join_members(left: DataFrame, key: str, members: DataFrame, row: str, piece: int = 256) -> DataFrame:
+    """Inner join of ``left`` with ``members(key, row)`` on ``key``, for keys with any number of members.
+
+    Members of a key are numbered and cut in pieces; a left row meets one piece at a time,
+    so the rows a hot key produces come from many tasks instead of one.
+    """
+    named = members.select(F.col(key).alias("__k"), F.col(row))
+    cut = materialize(number_within(named, ["__k"], [row], "__nth").select("__k", F.expr(f"__nth div {piece}").alias("__piece"), row), "members")
+    pieces = cut.groupBy(F.col("__k").alias("__kp")).agg(F.max("__piece").alias("__last"))
+    met = left.join(pieces, F.col(key) == F.col("__kp")).withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__last"))))
+    return met.join(cut, (F.col(key) == F.col("__k")) & (F.col("__at") == F.col("__piece"))).drop("__k", "__kp", "__last", "__at", "__piece")

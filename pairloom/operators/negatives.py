@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.vectors import rank_anchor, rank_anchor_floor
+from pairloom.operators.vectors import pool_choice, rank_anchor, rank_anchor_floor
 
 
 def score_field(df: DataFrame, group: str, fields: list[str]) -> DataFrame:
@@ -21,25 +21,36 @@ def teacher_limit(positive: Column, ratio: float, margin: float) -> Column:
 
 
 def teacher_filter(
-    df: DataFrame, group: str, item: str, text: str, score: str, is_positive: Column, least_positive: float, ratio: float, margin: float, pool: int, k: int, rounded: bool
+    df: DataFrame, group: str, item: str, text: str, score: str, is_positive: Column, least_positive: float, ratio: float, margin: float, pool: int, k: int,
+    rule: str = "kd", least_negative: float = 0.0, strategy: str = "score_rank_quantiles",
 ) -> DataFrame:
-    """``(group, item, score, pool_rank)``: k negatives per group, evenly spaced over the top pool.
-
-    A group needs a positive of at least ``least_positive``. Negatives above the limit drop,
-    equal texts keep their best-scored item, the best ``pool`` remain, and evenly spaced
-    ranks are chosen (``rounded`` or floor spacing; all if there are k or fewer).
+    """``(group, item, score, pool_rank)``: k negatives per group from its top pool, by a teacher's scores.
+
+    A group needs a positive of at least ``least_positive`` and k eligible negatives, else it
+    gives nothing. A negative may score up to the limit (inclusive) and not below
+    ``least_negative``. Rule "kd": the first item (by ``item``) of each text counts, whatever
+    its score, before the limit is applied; ranks are spaced by the floor formula. Rule
+    "factory": texts of the positive are excluded, the best-scored item of each text
+    counts, ranks are spaced by the rounded formula or chosen by ``strategy``.
     """
     s = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score)))
     p = s.where(is_positive).groupBy(group).agg(F.max(score).alias("__p"), F.collect_set(text).alias("__own")).where(F.col("__p") >= least_positive)
-    n = s.where(~is_positive).join(p, group).where((F.col(score) <= teacher_limit(F.col("__p"), ratio, margin)) & ~F.array_contains("__own", F.col(text)))
-    one = Window.partitionBy(group, text).orderBy(F.col(score).desc(), item)
-    n = n.withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    n = s.where(~is_positive).join(p, group)
+    allowed = (F.col(score) <= teacher_limit(F.col("__p"), ratio, margin)) & (F.col(score) >= least_negative)
+    if rule == "kd":
+        n = n.withColumn("__n", F.row_number().over(Window.partitionBy(group, text).orderBy(item))).where("__n = 1").where(allowed)
+    else:
+        n = n.where(allowed & ~F.coalesce(F.array_contains("__own", F.col(text)), F.lit(False)))
+        n = n.withColumn("__n", F.row_number().over(Window.partitionBy(group, text).orderBy(F.col(score).desc(), item))).where("__n = 1")
     best = Window.partitionBy(group).orderBy(F.col(score).desc(), item)
     top = n.withColumn("pool_rank", F.row_number().over(best)).where(F.col("pool_rank") <= pool)
-    sized = top.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    anchor = rank_anchor if rounded else rank_anchor_floor
-    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: anchor(i, F.col("__n"), k))
-    chosen = sized.where((F.col("__n") <= k) | F.array_contains(at, (F.col("pool_rank") - 1).cast("bigint")))
+    sized = top.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group))).where(F.col("__n") >= k)
+    if rule != "kd" and strategy != "score_rank_quantiles":
+        chosen = pool_choice(sized.withColumnsRenamed({"pool_rank": "rank", item: "doc_id"}), group, strategy, k).withColumnsRenamed({"rank": "pool_rank", "doc_id": item})
+    else:
+        anchor = rank_anchor_floor if rule == "kd" else rank_anchor
+        at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: anchor(i, F.col("__n"), k))
+        chosen = sized.where(F.array_contains(at, (F.col("pool_rank") - 1).cast("bigint")))
     return chosen.select(group, item, F.col(score).alias("score"), "pool_rank")
 
 

@@ -124,7 +124,7 @@ def near_ties(df: DataFrame, stages: list[tuple[str, float, bool]]) -> DataFrame
 
 
 def band_flags(df: DataFrame, stages: list[tuple[str, float, bool]], order: list[Column]) -> DataFrame:
-    """All rows with, per stage, whether they were still in the band, and their final place."""
+    """All rows with, per stage, whether they were still in the band, and their place: the first two bands, then ``order``."""
     left = df
     flagged = df
     for i, (column, eps, up) in enumerate(stages):
@@ -133,7 +133,7 @@ def band_flags(df: DataFrame, stages: list[tuple[str, float, bool]], order: list
         before = F.col(f"band{i - 1}") if i else F.lit(True)
         flagged = flagged.join(F.broadcast(best)).withColumn(f"band{i}", before & (gap <= eps)).drop("__best")
         left = flagged.where(F.col(f"band{i}"))
-    keys = [F.col(f"band{i}").desc() for i in range(len(stages) - 1, -1, -1)]
+    keys = [F.col(f"band{i}").desc() for i in range(min(2, len(stages)))]
     return flagged.withColumn("place", F.row_number().over(Window.orderBy(*keys, *order)))  # one row per model
 
 
@@ -147,11 +147,11 @@ def guard_gate(candidate: DataFrame, references: DataFrame, metric: str, value:
     return j.select(metric, "candidate", "floor", (F.coalesce(F.col("candidate"), F.lit(float("-inf"))) >= F.col("floor")).alias("passes"))
 
 
-def decision(gain: Column, risk: Column, least_gain: float, most_risk: float) -> Column:
-    """adopt, adopt_with_watch, keep or reject."""
+def decision(passes_target: Column, passes_guards: Column, deficit: Column, most_deficit: float) -> Column:
+    """The four-way ladder: adopt, teacher only, adapt and retest (a small deficit), or resume."""
     return (
-        F.when((gain >= least_gain) & (risk <= most_risk), "adopt").when((gain >= least_gain) & (risk <= 2 * most_risk), "adopt_with_watch")
-        .when(risk <= most_risk, "keep").otherwise("reject")
+        F.when(passes_target & passes_guards, "adopt").when(passes_target, "teacher_only_due_to_regression")
+        .when(passes_guards & deficit.between(0, most_deficit), "short_adaptation_then_retest").otherwise("resume_and_reselect")
     )
 
 

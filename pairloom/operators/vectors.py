@@ -151,6 +151,7 @@ def cells(corpus: DataFrame, key: str, vector: str, cells_wanted: int, sample_ro
     """
     import numpy as np
 
+    corpus = corpus.where(F.col(vector).isNotNull())
     total = corpus.count()
     n = max(1, min(cells_wanted, total // 39))
     share = min(1.0, 2 * sample_rows / max(1, total))
@@ -185,8 +186,12 @@ def with_cells(df: DataFrame, key: str, vector: str, centre, probes: int) -> Dat
     return df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<float>")).mapInArrow(run, f"key {kind}, vec array<float>, cell int")
 
 
-def cell_search(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, cells_wanted: int = 64, probes: int = 8) -> DataFrame:
-    """Approximate top-k: an equi-join on the cell, then exact scores of what met."""
+def cell_search(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, cells_wanted: int = 64, probes: int = 34) -> DataFrame:
+    """Approximate top-k: an equi-join on the cell, then exact scores of what met.
+
+    ``probes`` sets the recall: vectors without clusters need most of the cells (0.93 of the
+    true neighbours with 32 of 51 cells on random unit vectors), clustered ones few.
+    """
     centre = cells(corpus, key, vector, cells_wanted)
     index = with_cells(corpus, key, vector, centre, 1).select(F.col("key").alias("doc_id"), F.col("vec").alias("dv"), "cell")
     asked = with_cells(queries, key, vector, centre, probes).select(F.col("key").alias("query_id"), F.col("vec").alias("qv"), "cell")

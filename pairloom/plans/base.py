@@ -50,7 +50,7 @@ BODY_SQL = (
     f"THEN {strip_sql('string_split(query, ' + chr(39) + 'Query:' + chr(39) + ')[-1]')} ELSE {strip_sql('query')} END"
 )
 #: SQL of the pair view: one row per candidate, texts squashed, one spelling of source and split.
-PAIRS_SQL = f"""pairs AS (SELECT row_id, {SOURCE_SQL} AS source_id, {SPLIT_SQL} AS split, {squash_sql(BODY_SQL)} AS query,
+PAIRS_SQL = f"""pairs AS (SELECT row_id, {SOURCE_SQL} AS source_id, {SPLIT_SQL} AS split, {squash_sql(BODY_SQL)} AS query, {squash_sql('query')} AS full_query,
   {squash_sql('positive')} AS positive, provenance.repository AS repository, provenance.source_document_sha256 AS document FROM candidates)"""
 
 
@@ -63,6 +63,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
         F.regexp_replace(F.lower(tx.strip(F.col("source_id"))), f"[{S}_-]+", "_").alias("source_id"),
         F.when(split == "train", "train").when(split.isin("validation", "dev", "valid"), "validation").when(split == "test", "test").alias("split"),
         tx.squash(tx.semantic_body(F.col("query"))).alias("query"),
+        tx.squash(F.col("query")).alias("full_query"),
         tx.squash(F.col("positive")).alias("positive"),
         F.col("provenance.repository").alias("repository"),
         F.col("provenance.source_document_sha256").alias("document"),

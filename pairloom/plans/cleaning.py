@@ -8,33 +8,38 @@ from pairloom.functions import text as tx
 from pairloom.operators import cleaning as cl
 from pairloom.plans.base import PAIRS_SQL, pairs, query, squash_sql, strip_sql, table
 
-_REASON = """CASE WHEN query IS NULL OR positive IS NULL OR length(query) < 2 OR length(positive) < 10 THEN 'missing_or_short'
-  WHEN NOT regexp_matches(query, '[가-힣]') THEN 'non_script_query' WHEN length(positive) > 800 THEN 'document_too_long' END"""
+# the next two rows' positives stand for negatives
+_NEG_SQL = PAIRS_SQL + """, three AS (SELECT a.*, list_distinct(list_filter([b.positive, c.positive], lambda n: n IS NOT NULL AND n <> '' AND n <> a.positive)) AS neg FROM pairs a
+  LEFT JOIN pairs b ON b.row_id = a.row_id + 1 LEFT JOIN pairs c ON c.row_id = a.row_id + 2)"""
+_REASON = """CASE WHEN query IS NULL OR positive IS NULL OR length(query) < 2 OR length(positive) < 10 OR len(neg) = 0 THEN 'missing_or_short'
+  WHEN NOT regexp_matches(query, '[가-힣]') THEN 'non_korean_query' WHEN len(list_filter(neg, lambda n: length(n) BETWEEN 10 AND 800)) = 0 THEN 'missing_or_short_negative'
+  WHEN length(positive) > 800 THEN 'document_too_long' END"""
 
 
 def _reasons(spark, d):
-    none = F.array().cast("array<string>")
-    return pairs(spark, d).withColumn("reason", cl.clean_reason(F.col("query"), F.col("positive"), none, most_text=800))
+    p = pairs(spark, d)
+    other = lambda k: p.select((F.col("row_id") - k).alias("row_id"), F.col("positive").alias(f"n{k}"))
+    three = p.join(other(1), "row_id", "left").join(other(2), "row_id", "left").withColumn("negatives", F.array("n1", "n2"))
+    return three.withColumn("reason", cl.clean_reason(F.col("query"), F.col("positive"), F.col("negatives"), most_text=800))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT row_id, {_REASON} AS reason FROM pairs")
+@query(f"WITH {_NEG_SQL} SELECT row_id, {_REASON} AS reason FROM three")
 def clean_reasons(spark, d):
     return _reasons(spark, d).select("row_id", "reason")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT source_id, coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM pairs GROUP BY 1, 2")
+@query(f"WITH {_NEG_SQL} SELECT source_id, coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM three GROUP BY 1, 2")
 def clean_reason_counts(spark, d):
     return _reasons(spark, d).groupBy("source_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {PAIRS_SQL} SELECT a.row_id, CASE WHEN a.query IS NULL OR a.positive IS NULL OR b.positive IS NULL OR least(length(a.query), length(a.positive), length(b.positive)) < 2 THEN 'short'
-  WHEN NOT (regexp_matches(a.query, '[가-힣]') AND regexp_matches(a.positive, '[가-힣]')) THEN 'non_script'
-  WHEN greatest(length(a.query), length(a.positive), length(b.positive)) > 4000 THEN 'too_long' WHEN a.positive = b.positive THEN 'positive_equals_negative' END AS reason
+@query(f"""WITH {PAIRS_SQL} SELECT a.row_id, CASE WHEN a.query IS NULL OR a.positive IS NULL OR b.positive IS NULL OR length(a.query) < 2 OR least(length(a.positive), length(b.positive)) < 10 THEN 'missing_or_short'
+  WHEN NOT regexp_matches(a.query, '[가-힣]') THEN 'non_korean_query' WHEN greatest(length(a.positive), length(b.positive)) > 800 THEN 'document_too_long' WHEN a.positive = b.positive THEN 'positive_equals_negative' END AS reason
 FROM pairs a JOIN pairs b ON b.row_id = a.row_id + 1""")
 def triplet_reasons(spark, d):
     p = pairs(spark, d)
     nxt = p.select((F.col("row_id") - 1).alias("row_id"), F.col("positive").alias("negative"))
-    return p.join(nxt, "row_id").select("row_id", cl.triplet_reason(F.col("query"), F.col("positive"), F.col("negative")).alias("reason"))
+    return p.join(nxt, "row_id").select("row_id", cl.triplet_reason(F.col("query"), F.col("positive"), F.col("negative"), most_text=800).alias("reason"))
 
 
 @query(f"""WITH {PAIRS_SQL}, b AS (SELECT source_id, query, positive, min(row_id) AS row_id FROM pairs WHERE query IS NOT NULL AND positive IS NOT NULL GROUP BY ALL)
@@ -82,7 +87,7 @@ def source_caps(spark, d):
     return cl.capped(p, "source_id", ["row_id"], {"nlpai_ko_triplet": 200}, 50).select("row_id", "source_id")
 
 
-@query(f"""WITH {PAIRS_SQL}, m AS (SELECT source_id, row_id, CASE WHEN {_REASON} IS NULL THEN 1 ELSE 0 END AS ok FROM pairs),
+@query(f"""WITH {_NEG_SQL}, m AS (SELECT source_id, row_id, CASE WHEN {_REASON} IS NULL THEN 1 ELSE 0 END AS ok FROM three),
 c AS (SELECT *, sum(ok) OVER (PARTITION BY source_id ORDER BY row_id) - ok AS before FROM m)
 SELECT source_id, count(*) AS examined, CAST(sum(ok) AS BIGINT) AS accepted, CAST(sum(1 - ok) AS BIGINT) AS rejected FROM c WHERE before < 60 GROUP BY 1""")
 def source_caps_examined(spark, d):

@@ -80,16 +80,10 @@ def holdout_equal_quota(spark, d):
     return q.select("row_id", "repository", F.col("pick").cast("bigint").alias("pick"))
 
 
-_RR = _ELIG + """, t0 AS (SELECT row_id, source_id, query, positive, document, row_number() OVER (PARTITION BY source_id ORDER BY sha256('rr' || chr(0) || row_id), row_id) AS turn FROM r),
-t1 AS (SELECT * FROM t0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY turn, source_id, row_id) = 1), t2 AS (SELECT * FROM t1 QUALIFY row_number() OVER (PARTITION BY positive ORDER BY turn, source_id, row_id) = 1),
-t3 AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY document ORDER BY turn, source_id, row_id) <= 2),
-t4 AS (SELECT row_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY turn, row_id) AS turn FROM t3)"""
-
-
-@query(_RR + " SELECT * FROM t4 ORDER BY turn, source_id LIMIT 200")
+@query()
 def holdout_round_robin(spark, d):
-    rr = ho.round_robin(_full(spark, d).where("repository is not null"), "source_id", "row_id", 200, "rr", ["query", "positive"], ("document", 2))
-    return rr.select("row_id", "source_id", F.col("turn").cast("bigint").alias("turn"))
+    p = _full(spark, d).where("repository is not null and document is not null")
+    return ho.round_robin(p, "repository", "row_id", 200, "rr", ["query", "positive"], ("document", 2))
 
 
 @query("""SELECT id FROM candidates WHERE provenance.source_document_sha256 IS NOT NULL GROUP BY id HAVING min(provenance.source_document_sha256) <> max(provenance.source_document_sha256)""")

@@ -190,7 +190,7 @@ def staged_near_tie_selection(spark, d):
 
 
 @query(_bands_sql() + ", f AS (SELECT m.*, " + ", ".join(f"model IN (SELECT model FROM s{i}) AS band{i}" for i in range(4)) + """ FROM m)
-SELECT model, band0, band1, band2, band3, row_number() OVER (ORDER BY band3 DESC, band2 DESC, band1 DESC, band0 DESC, quality DESC, model) AS place FROM f""")
+SELECT model, band0, band1, band2, band3, row_number() OVER (ORDER BY band0 DESC, band1 DESC, quality DESC, model) AS place FROM f""")
 def staged_ranking_flags(spark, d):
     f = rk.band_flags(_models(spark, d), _STAGES, [F.col("quality").desc(), F.col("model")])
     return f.select("model", "band0", "band1", "band2", "band3", F.col("place").cast("bigint").alias("place"))
@@ -204,10 +204,11 @@ def guard_gate(spark, d):
     return g.select("task", "candidate", F.round("floor", 9).alias("floor"), "passes")
 
 
-@query(_MODELS_SQL + """ SELECT model, CASE WHEN quality - 0.05 >= 0.0005 AND intrusion <= 0.04 THEN 'adopt' WHEN quality - 0.05 >= 0.0005 AND intrusion <= 0.08 THEN 'adopt_with_watch'
-  WHEN intrusion <= 0.04 THEN 'keep' ELSE 'reject' END AS decision FROM m""")
+@query(_MODELS_SQL + """ SELECT model, CASE WHEN quality > 0.0505 AND intrusion <= 0.0405 THEN 'adopt' WHEN quality > 0.0505 THEN 'teacher_only_due_to_regression'
+  WHEN intrusion <= 0.0405 AND 0.0505 - quality BETWEEN 0 AND 0.001 THEN 'short_adaptation_then_retest' ELSE 'resume_and_reselect' END AS decision FROM m""")
 def decision_ladder(spark, d):
-    return _models(spark, d).select("model", rk.decision(F.col("quality") - 0.05, F.col("intrusion"), 0.0005, 0.04).alias("decision"))
+    deficit = 0.0505 - F.col("quality")
+    return _models(spark, d).select("model", rk.decision(F.col("quality") > 0.0505, F.col("intrusion") <= 0.0405, deficit, 0.001).alias("decision"))
 
 
 @query(_BOARD_SQL + """, g AS (SELECT model, count(DISTINCT task) AS n, avg(score) AS average FROM b GROUP BY 1)

@@ -30,12 +30,9 @@ def squash_hash_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha"), F.length(t).cast("bigint").alias("chars"))
 
 
-@query(f"""WITH c AS (SELECT row_id, query, {strip_sql('query')} AS st, strpos(query, chr(10) || 'Query:') AS pos FROM candidates)
-SELECT row_id, {BODY_SQL} AS body,
-  CASE WHEN starts_with(st, 'Instruct:') AND pos > 0 THEN {strip_sql('substr(query, 1, pos - 1)')}
-       WHEN starts_with(st, 'Instruct:') AND contains(query, 'Query:') THEN 'inline' ELSE 'unprompted' END AS instruction,
-  CASE WHEN starts_with(st, 'Instruct:') AND pos > 0 THEN {strip_sql('substr(query, pos + 7)')} ELSE {BODY_SQL} END AS profile_body
-FROM c""")
+@query(f"""WITH c AS (SELECT row_id, query, starts_with({strip_sql('query')}, 'Instruct:') AND contains(query, 'Query:') AS inl, strpos(query, chr(10) || 'Query:') AS pos, string_split(query, 'Query:')[-1] AS last FROM candidates)
+SELECT row_id, {BODY_SQL} AS body, CASE WHEN pos > 0 THEN {strip_sql('substr(query, 1, pos - 1)')} WHEN inl THEN {strip_sql('substr(query, 1, length(query) - length(last) - 6)')} ELSE 'unprompted' END AS instruction,
+  CASE WHEN pos > 0 THEN {strip_sql('substr(query, pos + 7)')} WHEN inl THEN {strip_sql('last')} ELSE {strip_sql('query')} END AS profile_body FROM c""")
 def query_body_split(spark, d):
     head, body = tx.profile_split(F.col("query"))
     return table(spark, d, "candidates").select("row_id", tx.semantic_body(F.col("query")).alias("body"), head.alias("instruction"), body.alias("profile_body"))
@@ -55,9 +52,9 @@ def stored_instruction_bodies(spark, d):
     return c.where(ok).select("row_id", tx.stored_instruction_stripped(F.col("query")).alias("body"))
 
 
-_STYLE = "CASE WHEN length(query) - length(replace(query, ',', '')) >= 2 OR length(query) - length(replace(query, '，', '')) >= 2 THEN 'comma_list' WHEN " + " OR ".join(
+_STYLE = "CASE WHEN length(query) - length(replace(query, ',', '')) >= 2 OR length(query) - length(replace(query, '，', '')) >= 2 THEN 'comma_keyword_list' WHEN " + " OR ".join(
     f"contains(query, '{w}')" for w in tx.QUESTION_MARKS
-) + " THEN 'question' WHEN length(query) <= 40 THEN 'short' ELSE 'long' END"
+) + " THEN 'natural_question' WHEN length(query) <= 40 THEN 'short_search_or_title' ELSE 'long_statement_or_search' END"
 
 
 @query(f"WITH {PAIRS_SQL} SELECT source_id, {_STYLE} AS style, count(*) AS n FROM pairs WHERE query IS NOT NULL GROUP BY 1, 2")

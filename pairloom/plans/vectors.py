@@ -102,30 +102,32 @@ def vector_average(spark, d):
 _CACHE = "cache_qwen3_reranker_scores"
 
 
-def _teacher_sql(k, rounded):
-    at = f"(i * (n - 1) + {(k - 1) // 2}) // {k - 1}" if rounded else f"(i * (n - 1)) // {k - 1}"
-    return f"""WITH s AS (SELECT * FROM {_CACHE} WHERE reranker_score IS NOT NULL AND NOT isnan(reranker_score)),
+_T = f"""WITH s AS (SELECT * FROM {_CACHE} WHERE reranker_score IS NOT NULL AND NOT isnan(reranker_score)),
 p AS (SELECT generated_id, max(reranker_score) AS p, list(DISTINCT text_sha256) AS own FROM s WHERE role = 'positive' GROUP BY 1 HAVING max(reranker_score) >= 0.5),
-n AS (SELECT s.*, row_number() OVER (PARTITION BY s.generated_id, text_sha256 ORDER BY reranker_score DESC, score_row_id) AS dup FROM s JOIN p USING (generated_id)
-  WHERE role <> 'positive' AND reranker_score <= least(p * 0.95, p - 0.05) AND NOT list_contains(own, text_sha256)),
-t AS (SELECT *, row_number() OVER (PARTITION BY generated_id ORDER BY reranker_score DESC, score_row_id) AS pool_rank FROM n WHERE dup = 1),
+j AS (SELECT s.*, p, own, reranker_score <= least(p * 0.95, p - 0.05) AND reranker_score >= 0.05 AS allowed FROM s JOIN p USING (generated_id) WHERE role <> 'positive'),"""
+_T_END = """t AS (SELECT *, row_number() OVER (PARTITION BY generated_id ORDER BY reranker_score DESC, score_row_id) AS pool_rank FROM u),
 z AS (SELECT *, count(*) OVER (PARTITION BY generated_id) AS n FROM t WHERE pool_rank <= 24)
-SELECT generated_id, score_row_id, reranker_score AS score, pool_rank FROM z WHERE n <= {k} OR list_contains(list_transform(range({k}), lambda i: {at}), pool_rank - 1)"""
+SELECT generated_id, score_row_id, reranker_score AS score, pool_rank FROM z WHERE n >= 7 AND list_contains(list_transform(range(7), lambda i: {0}), pool_rank - 1)"""
+_KD = _T + " u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generated_id, text_sha256 ORDER BY score_row_id) AS dup FROM j) WHERE dup = 1 AND allowed)," + _T_END.format("(i * (n - 1)) // 6")
+_FACTORY = (
+    _T + " u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generated_id, text_sha256 ORDER BY reranker_score DESC, score_row_id) AS dup FROM j WHERE allowed AND NOT coalesce(list_contains(own, text_sha256), FALSE)) WHERE dup = 1),"
+    + _T_END.format("(i * (n - 1) + 3) // 6")
+)
 
 
-def _teacher(spark, d, rounded):
-    f = ng.teacher_filter(table(spark, d, _CACHE), "generated_id", "score_row_id", "text_sha256", "reranker_score", F.col("role") == "positive", 0.5, 0.95, 0.05, 24, 7, rounded)
+def _teacher(spark, d, rule):
+    f = ng.teacher_filter(table(spark, d, _CACHE), "generated_id", "score_row_id", "text_sha256", "reranker_score", F.col("role") == "positive", 0.5, 0.95, 0.05, 24, 7, rule, 0.05)
     return f.withColumn("pool_rank", F.col("pool_rank").cast("bigint"))
 
 
-@query(_teacher_sql(7, False))
+@query(_KD)
 def teacher_filter_kd(spark, d):
-    return _teacher(spark, d, False)
+    return _teacher(spark, d, "kd")
 
 
-@query(_teacher_sql(7, True))
+@query(_FACTORY)
 def teacher_filter_factory(spark, d):
-    return _teacher(spark, d, True)
+    return _teacher(spark, d, "factory")
 
 
 @query(f"""SELECT generated_id, CASE WHEN bool_and(reranker_score IS NOT NULL AND NOT isnan(reranker_score)) THEN 'reranker_score'

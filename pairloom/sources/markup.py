@@ -49,5 +49,5 @@ def front_matter(c: Column) -> tuple[Column, Column]:
     block = F.regexp_extract(flat, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: F.locate(":", x) > 0)
     entries = F.transform(pairs, lambda x: F.struct(strip(F.substring_index(x, ":", 1)), strip(F.regexp_replace(x, "^[^:]*:", ""))))
-    meta = F.map_from_entries(F.when(F.size(entries) > 0, entries).otherwise(F.array().cast("array<struct<k:string,v:string>>")))
+    meta = F.map_from_entries(F.when(F.size(entries) > 0, entries).otherwise(F.array().cast("array<struct<col1:string,col2:string>>")))
     return meta, F.regexp_replace(flat, r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
