@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.joins import join_members
 from pairloom.operators.numbering import number_within
 from pairloom.session import materialize
 
@@ -164,7 +165,5 @@ def linked_pairs(labels: DataFrame, prefix: str) -> DataFrame:
     named = labels.where(F.col("node").startswith(prefix)).select("component", F.substring("node", len(prefix) + 1, 1 << 30).alias("name"))
     several = named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     named = named.join(several, "component", "left_semi")
-    a, b = named.alias("a"), named.alias("b")
-    return a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.name") < F.col("b.name"))).select(
-        F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")
-    )
+    both = join_members(named.withColumnRenamed("name", "name_a"), "component", named.withColumnRenamed("name", "name_b"), "name_b")
+    return both.where("name_a < name_b").select("name_a", "name_b")

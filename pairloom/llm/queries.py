@@ -155,10 +155,7 @@ def _overlap_base(spark, d):
 
 def _overlap_rows(spark, d):
     base = _overlap_base(spark, d)
-    pairs = overlap.class_pairs(base)
-    a = base.where("side = 'a'").select(F.col("cls").alias("cls_a"), F.col("row_id").alias("row_id_a"))
-    b = base.where("side = 'b'").select(F.col("cls").alias("cls_b"), F.col("row_id").alias("row_id_b"))
-    return pairs.join(a, "cls_a").join(b, "cls_b").select("row_id_a", "row_id_b")
+    return overlap.row_pairs(overlap.class_pairs(base), base)
 
 
 @query

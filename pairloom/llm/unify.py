@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.llm.glyphs import java_common, tables
+from pairloom.operators.joins import join_members
 from pairloom.session import materialize
 
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
@@ -120,9 +121,10 @@ def same_look_pairs(forms: DataFrame, key: str) -> DataFrame:
     """``(field, row_id_a, row_id_b)``: rows whose text is equal in plain form but not as stored.
 
     Input is ``plain_form``'s table. Forms are known by two 64-bit hashes. Forms with one
-    spelling drop out before rows are paired, so exact copies alone make no pairs; each
-    pair of rows with two spellings of one form comes out once, smaller key first. Blank
-    texts (in plain form) are no cases.
+    spelling drop out before anything is paired, so exact copies alone make no pairs; the
+    spellings of a form are paired, then expanded to their rows, in pieces where a spelling
+    has many. Each pair of rows comes out once, smaller key first. Blank texts (in plain
+    form) are no cases.
     """
     used = forms.where(F.col("plain").rlike("(?U)[^\\s]"))
     twice = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
@@ -131,10 +133,10 @@ def same_look_pairs(forms: DataFrame, key: str) -> DataFrame:
     look = ["field", "p1", "p2"]
     spelt = ids.groupBy(*look).agg(*[f(v).alias(f"{n}{v}") for v in ("v1", "v2") for n, f in (("lo", F.min), ("hi", F.max))])
     mixed = spelt.where("lov1 <> hiv1 or lov2 <> hiv2").select(*look)
-    rows = ids.join(mixed, look, "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    one = (F.col("a.field") == F.col("b.field")) & (F.col("a.p1") == F.col("b.p1")) & (F.col("a.p2") == F.col("b.p2"))
-    other = (F.col("a.v1") != F.col("b.v1")) | (F.col("a.v2") != F.col("b.v2"))
-    return a.join(b, one & other & (F.col("a.row_id") < F.col("b.row_id"))).select(
-        F.col("a.field").alias("field"), F.col("a.row_id").alias("row_id_a"), F.col("b.row_id").alias("row_id_b")
-    )
+    rows = materialize(ids.join(mixed, look, "left_semi").withColumn("v", F.xxhash64("field", "p1", "p2", "v1", "v2")), "spelt")
+    kinds = rows.groupBy(*look, "v").agg(F.count(F.lit(1)).alias("n"))
+    a, b = kinds.select(*look, F.col("v").alias("va")), kinds.select(*look, F.col("v").alias("vb"))
+    pairs = a.join(b, look).where("va < vb").select("field", "va", "vb")  # spellings of one form, each pair once
+    left = join_members(pairs, "va", rows.select(F.col("v").alias("va"), F.col("row_id").alias("ra")), "ra")
+    both = join_members(left, "vb", rows.select(F.col("v").alias("vb"), F.col("row_id").alias("rb")), "rb")
+    return both.select("field", F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b")).where("row_id_a <> row_id_b")

@@ -37,10 +37,7 @@ def test_overlap_against_brute_force(spark):
     rows += [(900, "a", None, "x"), (901, "b", "!!!", "..."), (902, "a", "", ""), (903, "b", rows[0][2], rows[0][3]), (904, "a", rows[0][2], rows[0][3]), (905, "a", "긴" * 20, "나" * 20000), (906, "b", "긴" * 20, "나" * 20000 + "다")]
     df = spark.createDataFrame(rows, "row_id bigint, side string, query string, positive string").selectExpr("*", "1 as cls", "2 as chunks", "3 as h", "4 as q", "5 as p")
     base = overlap.records(df, 0.8).persist()
-    pairs = overlap.class_pairs(base)
-    a = base.where("side = 'a'").selectExpr("cls as cls_a", "row_id as ra")
-    b = base.where("side = 'b'").selectExpr("cls as cls_b", "row_id as rb")
-    got = {(x["ra"], x["rb"]) for x in pairs.join(a, "cls_a").join(b, "cls_b").collect()}
+    got = {(x["row_id_a"], x["row_id_b"]) for x in overlap.row_pairs(overlap.class_pairs(base), base).collect()}
     bare = [(i, s, glyphs.bare_text(q) or "", glyphs.bare_text(p) or "") for i, s, q, p in rows if i != 905 and i != 906]
     want = {(x[0], y[0]) for x in bare if x[1] == "a" for y in bare if y[1] == "b" if x[2] and y[2] and x[3] and y[3] if similar(x[2], y[2]) and similar(x[3], y[3])}
     assert got - {(905, 906)} == want and (905, 906) in got and (904, 903) in got
