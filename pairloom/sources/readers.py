@@ -82,7 +82,7 @@ def blocklist_folder(spark: SparkSession, root: str) -> DataFrame:
 
 def markdown_corpus(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """``(path, text)`` of all files below ``root`` that match, one row per file."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

@@ -51,7 +51,7 @@ def manifest(spark, root: str, version: str) -> dict | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{version}.manifest.json")
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
-    return json.loads(spark.read.option("wholetext", True).text(p.toString()).first()[0])
+    return json.loads(spark.read.text(p.toString(), wholetext=True).first()[0])
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str, fingerprint: str) -> DataFrame:
