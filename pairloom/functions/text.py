@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Fixed value: the characters str.split() takes for white space, as a character class
 # that Java and RE2 read alike.
@@ -26,13 +27,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_text(s: pd.Series) -> pd.Series:
     """Canonical composition, line ends to LF, outer white space off; inner white space kept."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).replace("\r\n", "\n").replace("\r", "\n").strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compat_text(s: pd.Series) -> pd.Series:
     """Compatibility composition, white space runs to one blank, stripped; null gives ''."""
     return s.map(lambda t: "" if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
@@ -41,7 +42,7 @@ def compat_text(s: pd.Series) -> pd.Series:
 _DROP = {ord(c): None for c in ZERO_WIDTH}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def benchmark_text(s: pd.Series) -> pd.Series:
     """Compatibility form without zero-width characters, white space runs to one blank."""
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(_DROP).split()))
@@ -159,7 +160,7 @@ def length_proxy(query: Column, positive: Column, negatives: Column) -> Column:
     return F.array_max(F.concat(F.array(F.length(query), F.length(positive)), F.transform(negatives, lambda n: F.length(n))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def copied_share(query: pd.Series, text: pd.Series) -> pd.Series:
     """Longest common substring of the blank-free texts over the length of the query."""
 

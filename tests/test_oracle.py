@@ -46,3 +46,12 @@ def test_entry_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and set(catalogue.QUERIES) <= set(queries)
     assert entry.entry(spark).columns == ["source_id", "critical", "expected", "corpus", "digests"]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), set(s) <= set(q))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
+    assert done.returncode == 0 and done.stdout.split()[-1] == "True", done.stderr[-500:]
