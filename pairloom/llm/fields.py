@@ -46,9 +46,3 @@ def split_name(c: Column) -> Column:
 
 def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(trimmed(c)), "(?U)[\\s_-]+", "_")
-
-
-def query_body(c: Column) -> Column:
-    """A query without its stored instruction (text after the last ``Query:``)."""
-    stored = F.regexp_replace(c, "(?U)^\\s+", "").startswith("Instruct:") & c.contains("Query:")
-    return F.when(stored, F.trim(F.substring_index(c, "Query:", -1))).otherwise(c)

@@ -173,3 +173,17 @@ _NOT_BARE = re.compile(r"[\W_]+")
 def bare_text(text: str | None) -> str | None:
     """Plain form in lower case, letters and digits only."""
     return None if text is None else _NOT_BARE.sub("", plain_text(text).lower())
+
+
+_STORED = re.compile(r"(?is)\s*instruct\s*:.*?[\r\n]\s*query\s*:|\s*instruct\s*:.*query\s*:")
+
+
+def bare_body(query: str | None) -> str | None:
+    """Bare form of a query without its stored instruction (``Instruct: …``, new line,
+    ``Query: …``), which is looked for in plain form, in any letter case."""
+    if query is None:
+        return None
+    text = plain_text(query)
+    if m := _STORED.match(text):
+        text = text[m.end() :]
+    return _NOT_BARE.sub("", text.lower())

@@ -24,15 +24,16 @@ SLICE_CHARS = 4_000_000
 def _bare_items(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    from pairloom.llm.glyphs import bare_text
+    from pairloom.llm.glyphs import bare_body, bare_text
 
     for b in batches:
-        q, p = ([bare_text(x) for x in b.column(i).to_pylist()] for i in (1, 2))
+        q = [bare_body(x) for x in b.column(1).to_pylist()]
+        p = [bare_text(x) for x in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.string()), pa.array(p, pa.string())], ["row_id", "q", "p"])
 
 
 def bare_items(rows: DataFrame) -> DataFrame:
-    """``(row_id, q, p)``: bare query and positive of rows ``(row_id, query, positive)``."""
+    """``(row_id, q, p)``: bare query (without a stored instruction) and positive of rows ``(row_id, query, positive)``."""
     return rows.select("row_id", "query", "positive").mapInArrow(_bare_items, "row_id bigint, q string, p string")
 
 
@@ -164,8 +165,7 @@ def leaks(documents: DataFrame, rows: DataFrame, run: int = 60, block_patterns:
     """Distinct ``(doc_id, row_id)``: the document contains the row's whole bare query, or
     shares at least ``run`` bare characters in a row with its positive.
 
-    ``documents(doc_id, text)``, ``rows(row_id, query, positive)``, texts without stored
-    instruction. Rows with an empty bare query are matched by their positive only.
+    ``documents(doc_id, text)``, ``rows(row_id, query, positive)``. Rows with an empty bare query are matched by their positive only.
     ``run`` must be even. Empty tables give no rows.
     """
     size = run // 2

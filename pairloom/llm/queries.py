@@ -138,7 +138,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 def _held_out(spark, d):
     rows = table(spark, d, "candidates").withColumn("split", fields.split_name(F.col("split")))
     ok = F.col("split").isin("validation", "test") & ~fields.is_blank(F.col("query")) & ~fields.is_blank(F.col("positive"))
-    return rows.where(ok).select("row_id", fields.query_body(F.col("query")).alias("query"), "positive", "split", "source_id")
+    return rows.where(ok).select("row_id", "query", "positive", "split", "source_id")
 
 
 @query
@@ -149,7 +149,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def _overlap_base(spark, d):
     rows = table(spark, d, "candidates").withColumn("split", fields.split_name(F.col("split")))
     rows = rows.where(F.col("split").isNotNull() & ~fields.is_blank(F.col("query")) & ~fields.is_blank(F.col("positive")))
-    rows = rows.withColumn("side", F.when(F.col("split") == "train", "a").otherwise("b")).withColumn("query", fields.query_body(F.col("query")))
+    rows = rows.withColumn("side", F.when(F.col("split") == "train", "a").otherwise("b"))
     return materialize(overlap.records(rows, 0.8), "records")
 
 

@@ -159,8 +159,14 @@ def test_usable_records_and_fields(spark):
     assert [tuple(r) for r in mixing.usable_records(df).collect()] == [("a_b_c", 1)]
     c = spark.createDataFrame([("SHA256:" + "AB" * 32,), ("0" * 64,), (" unknown ",), ("",), (None,), ("ab" * 32 + " ",)], "h string")
     assert [r[0] for r in c.select(fields.digest(c["h"])).collect()] == ["ab" * 32, None, None, None, None, "ab" * 32]
-    q = spark.createDataFrame([("Instruct: do\nQuery: what Query: now",), ("plain",), (None,)], "q string")
-    assert [r[0] for r in q.select(fields.query_body(q["q"])).collect()] == ["now", "plain", None]
+
+
+@pytest.mark.parametrize(
+    ("query", "body"),
+    [("Instruct: do\nQuery: What, now", "whatnow"), ("Ｉｎｓtｒuсt： do\nＱuеry: x", "x"), ("INSTRUCT: A\r\nQUERY: B query: c", "bqueryc"), ("Instruct: a Query: b", "b"), ("plain Query: x", "plainqueryx"), ("", ""), (None, None)],
+)
+def test_stored_instructions_in_any_characters(query, body):
+    assert glyphs.bare_body(query) == body
 
 
 TEXT = (
