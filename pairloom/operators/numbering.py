@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_within(df: DataFrame, group: list[str], key: list[str], out: str, chunks: int = 64) -> DataFrame:
+def number_within(df: DataFrame, group: list[str], key: list[str], out: str, chunks: int | None = None) -> DataFrame:
     """Add ``out``: 0,1,2,… within each ``group``, in an order fixed by ``key``.
 
     A plain ``row_number`` over a group sorts the whole group in one task, which fails
     when one group holds a third of the rows. Here each group is cut in ``chunks``
-    pieces by a hash of ``key``; pieces are numbered apart and shifted by the sizes of
-    the pieces before them. The piece sizes are ``groups x chunks`` rows at most.
+    pieces (by default as many as shuffle partitions, 64 at least) by a hash of ``key``;
+    pieces are numbered apart and shifted by the sizes of the pieces before them. The
+    piece sizes are ``groups x chunks`` rows at most.
     Nulls in ``group`` form one group. ``key`` must be unique for a repeatable order.
     """
+    if chunks is None:
+        chunks = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     piece = F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int")
     cut = df.withColumn("__piece", piece)
     sizes = cut.groupBy(*group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
