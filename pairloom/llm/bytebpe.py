@@ -12,9 +12,11 @@ import heapq
 
 import numpy as np
 
-# Fixed value: how the byte-level vocabulary splits text into words. Written with the
-# explicit white-space property, so that every regex engine reads it alike.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: how the byte-level vocabulary splits text into words. Letters and numbers
+# stand first, which changes nothing (no other alternative starts with one) and is faster.
+WORD_PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Nearly the same words, found faster; good enough to choose the lexicon by.
+ROUGH_PATTERN = r" ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -80,7 +80,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     size 0 or null takes no room and goes to container 0. ``key`` must be unique.
     """
     n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
-    items = sizes.select(F.col(key).alias("__key"), n.alias("n"))
+    items = materialize(sizes.select(F.col(key).alias("__key"), n.alias("n")), "sizes")  # read twice below
     pieces = items.select(
         "__key", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("n") / capacity) - 1))).alias("piece")
     ).select("__key", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece") * capacity).alias("len"))

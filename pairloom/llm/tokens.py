@@ -16,7 +16,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.bytebpe import WORD_PATTERN, Transducer, build_transducer, merge_word, read_ranks
+from pairloom.llm.bytebpe import ROUGH_PATTERN, WORD_PATTERN, Transducer, build_transducer, merge_word, read_ranks
 from pairloom.session import put_bytes
 
 #: Where the vocabulary files are; a parameter of every call, read from no environment.
@@ -30,10 +30,11 @@ def vocabulary_path(name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> s
 
 
 def _count_words(batches: Iterator) -> Iterator:
+    import re
+
     import pyarrow as pa
-    import regex
 
-    find = regex.compile(WORD_PATTERN).findall
+    find = re.compile(ROUGH_PATTERN).findall
     seen: Counter = Counter()
 
     def flush():
@@ -51,7 +52,8 @@ def _count_words(batches: Iterator) -> Iterator:
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """``(word, n)`` over all texts, counted inside partitions first."""
+    """``(word, n)`` over all texts, counted inside partitions first. Words are cut by
+    ``ROUGH_PATTERN``: a word the exact pattern cuts otherwise only misses the lexicon."""
     texts = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
     return texts.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
