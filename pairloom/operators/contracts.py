@@ -116,3 +116,32 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: str) ->
 
     w = Window.partitionBy(group).orderBy(stable_hash(F.lit(seed), F.col(key)), key)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def rejections(base: DataFrame, keys: list[str], needed: dict[str, DataFrame]) -> DataFrame:
+    """Every row of ``base`` with the first reason it cannot compete: a missing part, or a part without a number.
+
+    ``needed`` maps a part's name to its table ``(keys…, value)``; rows with all parts get
+    a null reason.
+    """
+    out, reason = base.select(*keys), F.lit(None).cast("string")
+    for name, part in reversed(needed.items()):
+        cols = [F.col(k).alias(f"__{name}{i}") for i, k in enumerate(keys)]
+        p = part.select(*cols, F.col("value").alias(f"__{name}"), F.lit(True).alias(f"__{name}_there"))
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__{name}{i}"))
+        out = out.join(p, cond, "left")
+        v = F.col(f"__{name}")
+        reason = F.when(F.col(f"__{name}_there").isNull(), f"missing_{name}").when(v.isNull() | F.isnan(v), f"not_finite_{name}").otherwise(reason)
+    return out.select(*keys, reason.alias("reason"))
+
+
+def unique_pairs(df: DataFrame, key: str, pair: list[str]) -> DataFrame:
+    """Rows with a pair not seen before (by key); an id that stands for two pairs is an error."""
+    whole = F.sha2(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in pair]), 256)
+    w = Window.partitionBy(key)
+    same = df.withColumn("__p", whole).withColumn("__lo", F.min("__p").over(w)).withColumn("__hi", F.max("__p").over(w))
+    ok = F.when(F.col("__lo") == F.col("__hi"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("id with two pairs: "), F.col(key).cast("string"))))
+    first = Window.partitionBy("__p").orderBy(key)
+    return same.where(ok).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__p", "__lo", "__hi", "__n")

@@ -222,3 +222,22 @@ def parity(before: DataFrame, after: DataFrame, key: str, vector: str) -> DataFr
     return j.agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("least_cosine"), F.avg("c").alias("mean_cosine"), F.max("drift").alias("largest_drift"), (F.min("c") >= 0.999).alias("passes"))
 
 
+
+
+def with_source_candidates(dense: DataFrame, own: DataFrame, query: str, doc: str, score: str) -> DataFrame:
+    """Mined candidates and those a source brought along, each once with its ``origin``.
+
+    ``dense`` and ``own`` hold ``(query, doc, score)``; a candidate of both has the origin
+    "dense+source". Scores of one pair agree, the larger counts.
+    """
+    both = dense.select(query, doc, score, F.lit(1).alias("d"), F.lit(0).alias("s")).unionByName(own.select(query, doc, score, F.lit(0).alias("d"), F.lit(1).alias("s")))
+    one = both.groupBy(query, doc).agg(F.max(score).alias(score), F.max("d").alias("d"), F.max("s").alias("s"))
+    origin = F.when((F.col("d") == 1) & (F.col("s") == 1), "dense+source").when(F.col("d") == 1, "dense").otherwise("source")
+    return one.select(query, doc, score, origin.alias("origin"))
+
+
+def teacher_requests(pool: DataFrame, query: str, doc: str, score: str) -> DataFrame:
+    """One nested row per query: its candidates in rank order, for a teacher to score."""
+    c = F.struct((-F.col(score)).alias("order"), F.col(doc).alias("candidate_id"), F.col(score).alias("retriever_score"))
+    g = pool.groupBy(query).agg(F.sort_array(F.collect_list(c)).alias("cs"))
+    return g.select(query, F.transform("cs", lambda x: x.dropFields("order")).alias("candidates"))

@@ -11,21 +11,21 @@ from pairloom.plans.base import query, table
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling(spark, d):
-    e = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    e = table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(CAST(6 * i AS INTEGER)) AS start, count(*) AS n FROM events, range(2) r(i) GROUP BY 1")
 def sliding(spark, d):
-    e = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "12 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events").groupBy(F.window("ts", "12 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return e.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM l) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
 def sessions(spark, d):
-    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    s = e.groupBy("user_id", F.session_window("t", "4 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events")
+    s = e.groupBy("user_id", F.session_window("ts", "4 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
