@@ -23,8 +23,7 @@ def homogeneous_batches(df: DataFrame, source: str, key: str, length: str, size:
     sized = full.withColumn("batch_min", F.min(length).over(whole)).withColumn("batch_max", F.max(length).over(whole))
     # one row per batch is numbered, then joined back
     heads = sized.where("position = 0").select(source, "batch_number")
-    shuffle = Window.orderBy(stable_hash(F.lit(seed), F.lit("batch"), F.col(source), F.col("batch_number")), source, "batch_number")
-    index = heads.withColumn("batch_index", F.row_number().over(shuffle) - 1)
+    index = number_in_order(heads, [], [stable_hash(F.lit(seed), F.lit("batch"), F.col(source), F.col("batch_number")), F.col(source), F.col("batch_number")], "batch_index")
     joined = sized.join(index, [source, "batch_number"])
     return joined.withColumn("row_index", F.col("batch_index") * size + F.col("position")).drop("__rn", "__n")
 
@@ -75,8 +74,8 @@ def mix_components(components: dict[str, tuple[DataFrame, int]], size: int, seed
         one = batched.where(F.col("batch_index") < rows // size).withColumn("role", F.lit(role)).withColumnRenamed("batch_index", "source_batch")
         parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
     heads = parts.where("position = 0").select("role", "source_batch")
-    order = Window.orderBy(stable_hash(F.lit(seed), F.col("role"), F.col("source_batch")), "role", "source_batch")
-    return parts.join(heads.withColumn("output_batch", F.row_number().over(order) - 1), ["role", "source_batch"])
+    order = [stable_hash(F.lit(seed), F.col("role"), F.col("source_batch")), F.col("role"), F.col("source_batch")]
+    return parts.join(number_in_order(heads, [], order, "output_batch"), ["role", "source_batch"])
 
 
 def role_shares(df: DataFrame, role: str) -> DataFrame:
