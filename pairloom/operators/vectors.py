@@ -101,9 +101,97 @@ def top_k(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int,
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def positives_of(scored: DataFrame, query_label: Column) -> DataFrame:
-    """Best same-label score of each query in a pool: ``(query_id, positive_score)``."""
-    return scored.where(F.col("label") == query_label).groupBy("query_id").agg(F.max("score").alias("positive_score"))
+def _scores(batch, matrix, key_at: int = 0, vec_at: int = 1, label_at: int = 2):
+    import numpy as np
+
+    doc = np.asarray(batch.column(key_at).to_pylist())
+    v = np.asarray(batch.column(vec_at).to_pylist(), dtype="float64")
+    return doc, np.asarray(batch.column(label_at).to_pylist()), np.round(matrix @ v.T, 12)
+
+
+def mine(queries: DataFrame, corpus: DataFrame, key: str, vector: str, label: str, ratio: float, pool: int) -> tuple[DataFrame, DataFrame]:
+    """Hard negatives of each query: ``(query_id, doc_id, score, rank)`` and ``(query_id, why, n)``.
+
+    Rows of the query's label are positives. The first pass finds the best positive score
+    of each query, the second keeps per partition the ``pool`` best rows of other labels
+    whose score lies strictly below ``ratio`` times it, and counts what was left out
+    (query_match, too_close) or kept. Both passes hold a block of queries and its pools, no
+    score table. A query without a positive gives nothing.
+    """
+    kinds = dict(corpus.dtypes)
+    rows = corpus.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(key, vector, label)
+    labels = queries.select(F.col(key).alias("query_id"), F.col(label).alias("ql"))
+    picked = counted = None
+
+    def best_positive(ids, tags, matrix):
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            top, kind = np.full(len(ids), -np.inf), None
+            for b in batches:
+                kind = b.schema.field(0).type
+                doc, tag, score = _scores(b, matrix)
+                mine_ = (tag[None, :] == tags[:, None]) & (doc[None, :] != np.asarray(ids)[:, None])
+                top = np.maximum(top, np.where(mine_, score, -np.inf).max(axis=1, initial=-np.inf))
+            found = np.flatnonzero(top > -np.inf)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found], kind), pa.array(top[found])], ["query_id", "p"])
+
+        return run
+
+    def pools(ids, tags, matrix, bound):
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            best = [(np.array([]), np.array([], "int64"))] * len(ids)
+            n, kind = np.zeros((len(ids), 3), dtype="int64"), None
+            for b in batches:
+                kind = b.schema.field(0).type
+                doc, tag, score = _scores(b, matrix)
+                for i in range(len(ids)):
+                    if np.isnan(bound[i]):
+                        continue
+                    other = doc != ids[i]
+                    same = other & (tag == tags[i])
+                    keep = other & ~same & (score[i] < bound[i])
+                    n[i] += (same.sum(), (other & ~same & ~keep).sum(), keep.sum())
+                    s, d = np.r_[best[i][0], score[i][keep]], np.r_[best[i][1], doc[keep]] if len(best[i][1]) else doc[keep]
+                    o = np.lexsort((d, -s))[:pool]
+                    best[i] = (s[o], d[o])
+            why = ["query_match", "too_close", "kept"]
+            for i, (s, d) in enumerate(best):
+                if kind is None or not n[i].any():
+                    continue
+                rows_ = [(ids[i], x, y, None, None) for x, y in zip(d.tolist(), s.tolist())] + [(ids[i], None, None, w, int(c)) for w, c in zip(why, n[i]) if c]
+                cols = list(zip(*rows_))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], ["query_id", "doc_id", "score", "why", "n"]
+                )
+
+        return run
+
+    import numpy as np
+
+    from pairloom.session import materialize
+
+    tag_of = {r["query_id"]: r["ql"] for r in labels.toLocalIterator()}  # the stated query set
+    for ids, matrix in _blocks(queries, key, vector):
+        tags = np.asarray([tag_of[i] for i in ids])
+        top = rows.mapInArrow(best_positive(ids, tags, matrix), f"query_id {kinds[key]}, p double").groupBy("query_id").agg(F.max("p").alias("p"))
+        bounds = {r["query_id"]: r["p"] * ratio for r in top.collect()}  # one number a query of the block
+        bound = np.asarray([bounds.get(i, np.nan) for i in ids])
+        made = materialize(rows.mapInArrow(pools(ids, tags, matrix, bound), f"query_id {kinds[key]}, doc_id {kinds[key]}, score double, why string, n bigint"), "pools")
+        p, c = made.where("why is null").select("query_id", "doc_id", "score"), made.where("why is not null").select("query_id", "why", "n")
+        picked, counted = (p, c) if picked is None else (picked.unionByName(p), counted.unionByName(c))
+    if picked is None:
+        spark = corpus.sparkSession
+        picked = spark.createDataFrame([], f"query_id {kinds[key]}, doc_id {kinds[key]}, score double")
+        counted = spark.createDataFrame([], f"query_id {kinds[key]}, why string, n bigint")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    best = picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
+    return best, counted.groupBy("query_id", "why").agg(F.sum("n").alias("n"))
 
 
 def exclusion(score: Column, positive_score: Column, ratio: float, own: Column, same: Column) -> Column:

@@ -38,8 +38,10 @@ u AS (SELECT *, 1 AS d, 0 AS s FROM dense UNION ALL SELECT *, 0, 1 FROM own)
 SELECT query_id, doc_id, round(max(score), 6) AS score, CASE WHEN max(d) = 1 AND max(s) = 1 THEN 'dense+source' WHEN max(d) = 1 THEN 'dense' ELSE 'source' END AS origin FROM u GROUP BY 1, 2""")
 def source_negatives_compete(spark, d):
     e = table(spark, d, "embeddings")
-    scored = _search(spark, d, 1 << 30).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-    made = vc.with_source_candidates(scored.where("rank <= 10"), scored.where("label = ql and doc_id % 7 = 0"), "query_id", "doc_id", "score")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "label")
+    brought = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"), "label")
+    own = q.join(brought, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.round(vc.dot(F.col("qv"), F.col("dv")), 12).alias("score"))
+    made = vc.with_source_candidates(_search(spark, d, 10), own, "query_id", "doc_id", "score")
     return made.withColumn("score", F.round("score", 6))
 
 

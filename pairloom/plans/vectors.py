@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as tx
@@ -51,15 +50,9 @@ pool AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM kept WHERE rk
 
 
 def _pool(spark, d):
-    """The 24 best-scored negatives below 0.95 of the positive score of each query."""
+    """The 24 best-scored negatives below 0.95 of the positive score of each query, and what was left out."""
     e = _emb(spark, d)
-    labels = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    scored = _search(spark, d, 1 << 30).join(labels, "query_id")
-    pos = vc.positives_of(scored, F.col("ql"))
-    why = vc.exclusion(F.col("score"), F.col("positive_score"), 0.95, F.col("doc_id") == F.col("query_id"), F.col("label") == F.col("ql"))
-    kept = scored.join(pos, "query_id").withColumn("why", why)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return kept, kept.where("why is null").withColumn("rank", F.row_number().over(w)).where("rank <= 24")
+    return vc.mine(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "label", 0.95, 24)
 
 
 _OUT = ["query_id", "doc_id"]
@@ -67,24 +60,24 @@ _OUT = ["query_id", "doc_id"]
 
 @query(_POOL_SQL + " SELECT query_id, doc_id, round(score, 6) AS score, rk AS rank FROM pool WHERE rk <= 7")
 def hard_negatives_positive_relative(spark, d):
-    return vc.pool_choice(_pool(spark, d)[1], "query_id", "top_k", 7).select(*_OUT, F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return vc.pool_choice(_pool(spark, d)[0], "query_id", "top_k", 7).select(*_OUT, F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_POOL_SQL + " SELECT query_id, doc_id, rk AS rank FROM pool WHERE n <= 7 OR list_contains(list_transform(range(7), lambda i: (i * (n - 1) + 3) // 6), rk - 1)")
 def hard_negatives_rank_quantiles(spark, d):
-    return vc.pool_choice(_pool(spark, d)[1], "query_id", "score_rank_quantiles", 7).select(*_OUT, F.col("rank").cast("bigint").alias("rank"))
+    return vc.pool_choice(_pool(spark, d)[0], "query_id", "score_rank_quantiles", 7).select(*_OUT, F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_POOL_SQL + """, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256('7' || chr(0) || query_id || chr(0) || doc_id)) AS hr FROM pool)
 SELECT query_id, doc_id, rk AS rank FROM h WHERE hr <= 7""")
 def hard_negatives_hash_sample(spark, d):
-    return vc.pool_choice(_pool(spark, d)[1], "query_id", "hash_sample_from_top_pool", 7).select(*_OUT, F.col("rank").cast("bigint").alias("rank"))
+    return vc.pool_choice(_pool(spark, d)[0], "query_id", "hash_sample_from_top_pool", 7).select(*_OUT, F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_SCORED_SQL + """, pos AS (SELECT query_id, max(score) AS p FROM scored WHERE label = ql GROUP BY 1)
 SELECT CASE WHEN label = ql THEN 'query_match' WHEN NOT (score < p * 0.95) THEN 'too_close' ELSE 'kept' END AS why, count(*) AS n FROM scored JOIN pos USING (query_id) GROUP BY 1""")
 def mining_exclusions(spark, d):
-    return _pool(spark, d)[0].groupBy(F.coalesce("why", F.lit("kept")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
+    return _pool(spark, d)[1].groupBy("why").agg(F.sum("n").alias("n"))
 
 
 @query()

@@ -47,6 +47,15 @@ def test_mining_exclusions(spark):
     assert got == {0: "own", 1: "query_match", 2: None, 3: None, 4: None, 5: "too_close"}  # the bound is strict
 
 
+def test_mine(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [0.99, 0.1], 0), (2, [0.98, 0.2], 1), (3, [0.8, 0.6], 1), (4, [0.6, 0.8], 2), (5, [0.0, 1.0], 2), (6, None, 1), (7, [0.8, 0.6], None), (100, [0.0, 1.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<float>, label int").repartition(3)
+    best, why = vc.mine(df.where("vec_id % 100 = 0"), df, "vec_id", "v", "label", 0.95, 2)
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in best.orderBy("rank").collect()] == [(0, 3, 1), (0, 4, 2)]
+    assert {(r["query_id"], r["why"]): r["n"] for r in why.collect()} == {(0, "query_match"): 1, (0, "too_close"): 1, (0, "kept"): 4}
+    assert vc.mine(df.limit(0), df, "vec_id", "v", "label", 0.95, 2)[0].count() == 0
+
+
 def test_rank_anchors(spark):
     i = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda x: vc.rank_anchor(x, F.lit(24), 7))
     j = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda x: vc.rank_anchor_floor(x, F.lit(24), 7))
