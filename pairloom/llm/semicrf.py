@@ -9,6 +9,7 @@ dynamic programme over the candidates in order of their ends.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 from pairloom.llm.spans import KINDS, Span
 
@@ -32,19 +33,29 @@ class SemiCRF:
         return self.w.get(f"t={before},{kind}", 0.0)
 
     def decode(self, spans: list[Span]) -> list[Span]:
-        """The best set of items that do not overlap; ``spans`` in order of their ends."""
+        """The best set of items that do not overlap; ``spans`` in order of their ends.
+
+        For each type of the item before, the best path that ends early enough is a prefix
+        maximum found by bisection, so a line costs n log n.
+        """
         if not spans:
             return []
-        scores = [self.score(c) for c in spans]
-        # best[i]: best path whose last item is spans[i]
-        best, back = [0.0] * len(spans), [-1] * len(spans)
+        ends = [c.end for c in spans]
+        back: list[int] = []
+        tops: list[list[tuple[float, int]]] = [[(-math.inf, -1)] for _ in KINDS]  # per type: best path among the first i items
+        best: list[float] = []
         for i, c in enumerate(spans):
+            early = bisect_right(ends, c.start, 0, i)
             top, arg = self.change(START, c.kind), -1
-            for j in range(i):
-                if spans[j].end <= c.start and (v := best[j] + self.change(spans[j].kind, c.kind)) > top:
+            for k, t in enumerate(tops):
+                v, j = t[early]
+                if j >= 0 and (v := v + self.change(k, c.kind)) > top:
                     top, arg = v, j
-            best[i], back[i] = top + scores[i], arg
-        i = max(range(len(spans)), key=lambda k: best[k])
+            best.append(top + self.score(c))
+            back.append(arg)
+            for k, t in enumerate(tops):
+                t.append((best[i], i) if k == c.kind and best[i] > t[-1][0] else t[-1])
+        i = max(range(len(spans)), key=best.__getitem__)
         if best[i] <= 0:
             return []
         out = []
