@@ -16,7 +16,7 @@ def plan_problems(plans: DataFrame, key: str, rows: str, counts: str, observed:
     each = plans.select(key, rows, F.explode(F.from_json(F.to_json(counts), "map<string,bigint>")).alias("__s", "__c"))
     total = each.groupBy(key, rows).agg(F.sum("__c").alias("__t")).where(F.col("__t") != F.col(rows)).select(key, F.lit("sum_differs").alias("rule"), F.lit(None).cast("string").alias("source"))
     seen = observed.select(F.col(source).alias("__s"), F.col(have).alias("__h"))
-    j = each.join(F.broadcast(seen), "__s", "left")
+    j = each.join(seen, "__s", "left")
     rule = F.when(F.col("__c") < 0, "negative").when(F.coalesce("__h", F.lit(0)) == 0, "unknown_source").when(F.col("__c") > F.col("__h"), "above_observed")
     return total.unionByName(j.select(key, rule.alias("rule"), F.col("__s").alias("source")).where("rule is not null"))
 

@@ -71,7 +71,7 @@ def retention(summary: DataFrame, group: list[str], ratio: str, metric: str) ->
     cond = F.lit(True)
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    j = summary.join(F.broadcast(clean), cond, "left")
+    j = summary.join(clean if group else F.broadcast(clean), cond, "left")  # without groups: one row
     return j.withColumn("retention", F.col(metric) / F.nullif(F.col("__clean"), F.lit(0.0))).drop("__clean", *[f"__{g}" for g in group])
 
 

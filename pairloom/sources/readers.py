@@ -43,7 +43,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return raw.join(F.broadcast(starts.select("file", "block", "first", "skip")), ["file", "block"]).select("file", (F.col("skip") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+    return raw.join(starts.select("file", "block", "first", "skip"), ["file", "block"]).select("file", (F.col("skip") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def aligned(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
