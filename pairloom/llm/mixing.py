@@ -41,7 +41,7 @@ def allotment(plans: DataFrame, records: DataFrame) -> DataFrame:
     plan is not stretched to fill the gap, so shares stay as near to target as they can.
     """
     have = records.groupBy("source_id").agg(F.count(F.lit(1)).alias("have"))
-    t = plan_targets(plans).join(F.broadcast(have), "source_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    t = plan_targets(plans).join(have, "source_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     t = t.withColumn("capacity", F.col("have") * F.col("max_repeats"))
     return t.withColumn("given", F.greatest(F.lit(0), F.least("want", "capacity"))).withColumn("short", F.col("capacity") < F.col("want"))
 
