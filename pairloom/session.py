@@ -7,9 +7,11 @@ unset (tests, a laptop) a folder of our own is chosen.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+def put_bytes(spark: SparkSession, name: str, data: bytes, ending: str = "") -> str:
     """Write a small driver-built file (a model, a lexicon) to the shared folder."""
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name) + ending
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop)
     try:
@@ -53,3 +55,23 @@ def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     finally:
         out.close()
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Executors of a cluster do not have it on their path; it goes out as a zip file in the
+    shared folder. Called before a query makes its first Python function.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pairloom_shipped", False):
+        return
+    root, buffer = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
+    context.addPyFile(put_bytes(spark, "package", buffer.getvalue(), ".zip"))
+    context._pairloom_shipped = True

@@ -55,3 +55,18 @@ def test_queries_are_listed_without_a_session():
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), set(s) <= set(q))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
     assert done.returncode == 0 and done.stdout.split()[-1] == "True", done.stderr[-500:]
+
+
+def test_workers_get_the_package(sf, tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\nfrom pyspark.sql import SparkSession\nimport __spark_entry__ as e\n"
+        f"s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"print('rows', e.queries()['normalize_hash_documents'](s, {sf!r}).count(), e.entry(s).count() >= 0)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env)
+    assert done.returncode == 0 and "rows 100 True" in done.stdout, done.stderr[-800:]
