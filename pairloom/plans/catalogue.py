@@ -1,4 +1,4 @@
-"""All queries over the reference operators, with their SQL."""
+"""All queries over the core operators, with their SQL."""
 
 from __future__ import annotations
 
