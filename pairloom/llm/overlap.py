@@ -1,17 +1,15 @@
 """Problem 1: the same or nearly the same record in several splits.
 
-Method: bare records are cut in content-defined chunks by a rolling hash, chunk digests
-are joined across splits, and shared chunk lengths are summed to overlap fractions; an
-edit-distance check on both texts follows. Side 'a' is cut at the scale of its length,
-side 'b' at every scale a partner of similar length may use. Texts of up to ``SHORT``
-characters, of which an edit may spoil every chunk, are cut in even segments instead: of
-``k + 1`` segments, ``k`` edits leave one whole, so none of these pairs is lost.
-
-Exact copies meet first: everything works on distinct (query, positive) classes. Of the
-chunks of a side 'a' record that side 'b' may hold, the most frequent ones, up to a share
-of ``UNKEYED`` by length, are no join keys; how frequent a digest is comes from counts over
-all records in a table of fixed size. A digest that a third of all records hold is a key
-only for side 'a' records made of such digests. A pair must also agree in the lengths and in a 64-bit set of the query's
+Method: bare queries meet in short segments, and what meets is compared as text. ``k`` edits
+touch at most ``k`` of ``k + 1`` disjoint segments, so a side 'a' query is keyed by one more
+disjoint segments of 2 to 4 characters than edits to a similar text can touch, and a side 'b'
+query by all its substrings of these lengths: one segment is left whole in every similar pair,
+so none is lost, at any length. Which disjoint segments are taken is free; those that few
+side 'b' queries seem to hold are, by counts in a table of fixed size. The table decides on
+the work alone: a segment no side 'b' query may hold needs no key, all others taken are keys.
+
+Exact copies meet first: everything works on distinct queries, then on distinct (query,
+positive) classes. A pair must also agree in the lengths and in a 128-bit set of the query's
 characters as far as the edit similarity asks for, which loses no pair.
 """
 
@@ -27,223 +25,219 @@ from pairloom.llm.wumanber import prefix_sums, span_hashes
 from pairloom.operators.joins import join_members
 from pairloom.session import materialize, put_bytes
 
-#: Radius of the chunking window by length of the bare text: (longest text, radius). A cut
-#: stands where the rolling hash is least within the radius: it depends on no cut before it.
-SCALES = [(60, 1), (140, 2), (1 << 40, 3)]
-SHORT = 30
-WINDOW = 2
-#: A chunk without a cut inside is cut at this many characters.
-LONGEST = 32
-#: Of the chunks of a side 'a' record that side 'b' may hold, this share (by length), the
-#: most frequent ones, are no join keys. On side 'b' all such chunks are.
-UNKEYED = 0.4
-#: Characters chunked at once, which bounds a worker's memory.
-SLICE_CHARS = 2_000_000
+#: Lengths of the segments. A text shorter than twice the least is one segment.
+LENGTHS = (2, 3, 4)
+#: Least edit similarity at which enough segments of ``LENGTHS`` fit into every text.
+LEAST_SIMILAR = 0.8
+#: Segments of a longer text are chosen in even blocks of up to this many characters.
+BLOCK = 128
+#: Characters keyed at once, which bounds a worker's memory.
+SLICE_CHARS = 500_000
 #: Slots of the frequency table.
 SLOTS = 1 << 21
 
 
-def scale_of(n: int) -> int:
-    return next(i for i, (most, _) in enumerate(SCALES) if n <= most)
+def segments_needed(n: int, similar: float) -> int:
+    """One more than edits between a text of ``n`` characters and a similar one can touch."""
+    return int(n / similar * (1 - similar) + 1e-9) + 1
 
 
-def segments(n: int, similar: float) -> list[tuple[int, int]]:
-    """Even segments of a text of ``n`` characters: one more than edits to a similar text can touch."""
-    k = int(n / similar * (1 - similar) + 1e-9)
-    parts = min(n, k + 1)
-    edges = [n * i // parts for i in range(parts + 1)]
-    return list(zip(edges, edges[1:]))
+def once(t, h):
+    """``(text number, digest)`` without repetitions."""
+    import numpy as np
 
+    o = np.lexsort((h, t))
+    t, h = t[o], h[o]
+    new = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])] if len(t) else np.array([], bool)
+    return t[new], h[new]
 
-def segment_keys(t: str, side: str, similar: float) -> dict[tuple, int]:
-    """Keys of a short text: own segments on side 'a', every place a partner's segment may stand on side 'b'."""
-    n = len(t)
-    if side == "a":
-        return {(n, i, t[x:y]): y - x for i, (x, y) in enumerate(segments(n, similar))}
-    out = {}
-    for m in range(max(1, -int(-(n * similar) // 1)), min(SHORT, int(n / similar + 1e-9)) + 1):
-        shift = int(max(n, m) * (1 - similar) + 1e-9)
-        for i, (x, y) in enumerate(segments(m, similar)):
-            for at in range(max(0, x - shift), min(n - (y - x), x + shift) + 1):
-                out[m, i, t[at : at + y - x]] = y - x
-    return out
 
+class Flat:
+    """Texts side by side, with hashes of their spans."""
 
-def chunk_arrays(texts: list[str], low, high):
-    """``(text number, digest, length)`` arrays of the chunks of all texts, at every scale
-    from that of length ``low`` to that of length ``high`` of each text."""
-    import numpy as np
+    def __init__(self, texts: list[str]):
+        import numpy as np
 
-    gap = "\0" * (SCALES[-1][1] + 1)
-    flat = np.frombuffer(gap.join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    size = np.fromiter(map(len, texts), "int64", len(texts))
-    start = np.cumsum(size + len(gap)) - size
-    with np.errstate(over="ignore"):
-        g = flat * np.uint32(2654435761)
-        g ^= g >> np.uint32(13)
-        roll = g.copy()
-        for k in range(1, WINDOW):
-            roll[k:] += g[:-k] * np.uint32(0x85EBCA6B * (2 * k + 1) & 0xFFFFFFFF)
-        roll *= np.uint32(0xC2B2AE35)
-        roll ^= roll >> np.uint32(15)
-    roll[flat == 0] = 0xFFFFFFFF
-    sums = prefix_sums(flat)
-    out = []
-    edges = np.array([0] + [m for m, _ in SCALES[:-1]])
-    for i, (most, radius) in enumerate(SCALES):
-        mine = (low <= most) & (high > edges[i]) & (size > 0)
-        if not mine.any():
-            continue
-        least = np.ones(len(flat), dtype=bool)
-        for k in range(1, radius + 1):
-            least[k:] &= roll[k:] < roll[:-k]
-            least[:-k] &= roll[:-k] <= roll[k:]
-        inside = np.zeros(len(flat) + 1, dtype="int8")
-        np.add.at(inside, start[mine], 1)
-        np.add.at(inside, (start + size)[mine], -1)
-        mark = least & (np.cumsum(inside)[:-1] > 0)
-        mark[start[mine]] = True
-        mark[(start + size)[mine]] = True
-        at = np.flatnonzero(mark)
-        text = np.searchsorted(start, at, "right") - 1
-        same = text[1:] == text[:-1]
-        c, e, t = at[:-1][same], at[1:][same], text[:-1][same]
-        if (long := e - c > LONGEST).any():
-            more = [(x, min(x + LONGEST, b), k) for a, b, k in zip(c[long], e[long], t[long]) for x in range(a, b, LONGEST)]
-            c, e, t = (np.concatenate([x[~long], np.array(y, "int64")]) for x, y in zip((c, e, t), zip(*more)))
-        out.append((t, span_hashes(sums, c, e) + np.uint64(i), e - c))
-    if not out:
-        none = np.array([], "int64")
-        return none, none, none
-    return tuple(np.concatenate([x[k] for x in out]).astype("int64" if k != 1 else "uint64") for k in range(3))
-
-
-def _records(similar: float):
-    def run(batches: Iterator) -> Iterator:
-        import hashlib
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        self.size = np.fromiter(map(len, texts), "int64", len(texts))
+        self.start = np.cumsum(self.size) - self.size
+        self.sums = prefix_sums(flat)
+
+    def digests(self, at, length: int):
+        return span_hashes(self.sums, at, at + length).view("int64")
 
+    def all_segments(self):
+        """``(text number, digest)`` of every substring that may be a segment, once per text."""
         import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        from pairloom.llm.glyphs import bare_body, bare_text
-
-        digest = lambda *x: xxhash.xxh3_64_intdigest("\0".join(map(str, x)).encode("utf-8", "surrogatepass")) - (1 << 63)
-
-        def chunked(texts: list[str], sides: list[str]):
-            size = np.fromiter(map(len, texts), "int64", len(texts))
-            first = np.array([x == "a" for x in sides], dtype=bool)
-            low = np.where(first, size, (size * similar).astype("int64"))
-            high = np.where(first, size, (size / similar).astype("int64") + 1)
-            t, h, n = chunk_arrays(texts, np.where(high > SHORT, np.maximum(low, SHORT + 1), 1 << 50), np.where(high > SHORT, high, 0))
-            h = h.view("int64")
-            short = [(i, digest(*k), v) for i in np.flatnonzero((size > 0) & (low <= SHORT)).tolist() for k, v in segment_keys(texts[i], sides[i], similar).items()]
-            if short:
-                t, h, n = (np.concatenate([x, np.array(y, "int64")]) for x, y in zip((t, h, n), zip(*short)))
-            o = np.lexsort((h, t))
-            t, h, n = t[o], h[o], n[o]
-            once = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])] if len(t) else np.array([], bool)
-            t, h, n = t[once], h[once], n[once]
-            offsets = np.r_[0, np.cumsum(np.bincount(t, minlength=len(texts)))]
-            chunk = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(n.astype("int32"), pa.int32())], ["h", "n"])
-            return pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), chunk)
-
-        def letters(t: str) -> int:
-            bits = 0
-            for c in set(t):
-                bits |= 1 << (ord(c) * 0x9E3779B1 >> 16 & 63)
-            return bits - (1 << 64) if bits >> 63 else bits
 
-        for b in batches:
-            q = [bare_body(x) or "" for x in b.column(2).to_pylist()]
-            p = [bare_text(x) or "" for x in b.column(3).to_pylist()]
-            at = 0
-            while at < len(p):
-                end, chars = at, 0
-                while end < len(p) and (end == at or chars + len(p[end]) <= SLICE_CHARS):
-                    chars += len(p[end])
-                    end += 1
-                qs, ps, sides = q[at:end], p[at:end], b.column(1).slice(at, end - at)
-                cls = [int.from_bytes(hashlib.blake2b(f"{x}\0{y}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x, y in zip(qs, ps)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, end - at), sides, pa.array(cls, pa.int64()), pa.array(qs, pa.string()), pa.array(ps, pa.string()), pa.array(map(letters, qs), pa.int64()), chunked(ps, sides.to_pylist())],
-                    ["row_id", "side", "cls", "q", "p", "letters", "chunks"],
-                )
-                at = end
+        whole = self.size < 2 * LENGTHS[0]
+        text = np.repeat(np.arange(len(self.size)), self.size)
+        at = np.arange(len(text))
+        left = (self.start + self.size)[text] - at
+        found = []
+        for n in range(1, LENGTHS[-1] + 1):
+            here = np.where(whole[text], (left == n) & (self.size[text] == n), (left >= n) & (n in LENGTHS))
+            found.append((text[here], self.digests(at[here], n)))
+        return once(*(np.concatenate(x) for x in zip(*found)))
+
+    def chosen_segments(self, similar: float, cost):
+        """``(text number, digest)`` of ``segments_needed`` disjoint segments of each text, of least total cost."""
+        import numpy as np
 
-    return run
+        found = [(np.array([], "int64"), np.array([], "int64"))]
+        for n in range(1, 2 * LENGTHS[0]):
+            t = np.flatnonzero(self.size == n)
+            found.append((t, self.digests(self.start[t], n)))
+        t = np.flatnonzero(self.size >= 2 * LENGTHS[0])
+        parts = -(-self.size[t] // BLOCK)
+        t, parts = np.repeat(t, parts), np.repeat(parts, parts)
+        part = np.arange(len(t)) - np.searchsorted(t, t)
+        low, high = self.size[t] * part // parts, self.size[t] * (part + 1) // parts
+        # the needs of the blocks of a text sum to its own need at least
+        for m in np.unique(high - low).tolist():
+            mine = np.flatnonzero(high - low == m)
+            found += self._blocks(t[mine], self.start[t[mine]] + low[mine], m, segments_needed(m, similar), cost)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _blocks(self, text, start, m: int, need: int, cost):
+        import numpy as np
+
+        digest = {n: self.digests((start + np.arange(m - n + 1)[:, None]).ravel(), n).reshape(m - n + 1, -1) for n in LENGTHS}
+        price = {n: cost(h) for n, h in digest.items()}
+        best = np.full((m + 1, need + 1, len(text)), np.inf, dtype="float32")
+        took = np.zeros((m + 1, need + 1, len(text)), dtype="int8")
+        best[:, 0] = 0
+        for at in range(1, m + 1):
+            best[at, 1:] = best[at - 1, 1:]
+            for n in LENGTHS:
+                if n <= at:
+                    with_it = best[at - n, :-1] + price[n][at - n]
+                    less = with_it < best[at, 1:]
+                    best[at, 1:][less] = with_it[less]
+                    took[at, 1:][less] = n
+        row, at, j = np.arange(len(text)), np.full(len(text), m), np.full(len(text), need)
+        found = []
+        while len(row):
+            n = took[at, j, row].astype("int64")
+            for k in LENGTHS:
+                x = n == k
+                found.append((text[row[x]], digest[k][at[x] - k, row[x]]))
+            at, j = at - np.maximum(n, 1), j - (n > 0)
+            row, at, j = row[j > 0], at[j > 0], j[j > 0]
+        return found
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
+            chars += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def _records(batches: Iterator) -> Iterator:
+    import hashlib
+
+    import pyarrow as pa
+
+    from pairloom.llm.glyphs import bare_body, bare_text
+
+    number = lambda t: int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+    def letters(t: str) -> int:
+        bits = 0
+        for c in set(t):
+            bits |= 1 << (ord(c) * 0x9E3779B1 >> 16 & 127)
+        return bits
+
+    def signed(bits: int) -> int:
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    for b in batches:
+        q = [bare_body(x) or "" for x in b.column(2).to_pylist()]
+        p = [bare_text(x) or "" for x in b.column(3).to_pylist()]
+        bits = [letters(x) for x in q]
+        halves = [pa.array([signed(x >> k & (1 << 64) - 1) for x in bits], pa.int64()) for k in (0, 64)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(map(number, map("\0".join, zip(q, p))), pa.int64()), pa.array(map(number, q), pa.int64()), pa.array(q, pa.string()), pa.array(p, pa.string()), *halves],
+            ["row_id", "side", "cls", "query_no", "q", "p", "letters", "letters_2"],
+        )
 
 
 def records(rows: DataFrame, similar: float) -> DataFrame:
-    """Bare texts, class number and chunks of ``(row_id, side, query, positive)``; a stored
+    """Bare texts, class and query numbers of ``(row_id, side, query, positive)``; a stored
     instruction is no part of a query; records with an empty bare text are left out, repeated rows stay."""
-    made = rows.select("row_id", "side", "query", "positive").mapInArrow(
-        _records(similar), "row_id bigint, side string, cls bigint, q string, p string, letters bigint, chunks array<struct<h:bigint,n:int>>"
-    )
+    if similar < LEAST_SIMILAR:
+        raise ValueError(f"similar pairs are found from {LEAST_SIMILAR} on")
+    made = rows.select("row_id", "side", "query", "positive").mapInArrow(_records, "row_id bigint, side string, cls bigint, query_no bigint, q string, p string, letters bigint, letters_2 bigint")
     return made.where("length(q) > 0 and length(p) > 0")
 
 
-def _frequencies(base: DataFrame) -> str:
-    """A file of ``SLOTS`` bytes: how often digests of a slot occur (log scale), 0 if not on both sides."""
+def _frequencies(queries: DataFrame) -> str:
+    """A file of ``SLOTS`` bytes: how many side 'b' queries hold a segment of a slot (log scale), 0 if none does."""
     import numpy as np
 
-    spark = base.sparkSession
-    slot = F.pmod(F.col("c.h"), F.lit(SLOTS)).cast("int")
-    each = base.select((F.col("side") == "a").alias("a"), F.explode("chunks").alias("c")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("na"))
-    both = each.where("na > 0 and na < n").select("slot", (F.floor(F.log2("n") * 4) + 1).cast("int").alias("level")).toArrow()  # at most SLOTS rows of two numbers
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for at, end in _slices(texts):
+                slot, n = np.unique(Flat(texts[at:end]).all_segments()[1] % SLOTS, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype("int32")), pa.array(n.astype("int64"))], ["slot", "n"])
+
+    spark = queries.sparkSession
+    each = queries.where("not a").select("q").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    levels = each.select("slot", (F.floor(F.log2("n") * 4) + 1).cast("int").alias("level")).toArrow()  # at most SLOTS rows of two numbers
     table = np.zeros(SLOTS, dtype="uint8")
-    table[both.column("slot").to_numpy()] = np.minimum(both.column("level").to_numpy(), 255)
+    table[levels.column("slot").to_numpy()] = np.minimum(levels.column("level").to_numpy(), 255)
     path = put_bytes(spark, "frequencies", table.tobytes())
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
 
 
-def _keys(name: str):
+def _keys(name: str, similar: float):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         level = np.memmap(SparkFiles.get(name), dtype="uint8", mode="r")
+        price = np.r_[np.float32(0), np.exp2(np.arange(255, dtype="float32") / 4)]
+        cost = lambda h: price[level[h % SLOTS]]
+
         for b in batches:
-            chunks = b.column(5)
-            flat = chunks.flatten()
-            h, n = flat.field("h").to_numpy(), flat.field("n").to_numpy().astype("int64")
-            row = pc.list_parent_indices(chunks).to_numpy()
-            f = np.asarray(level[h % SLOTS])
-            order = np.lexsort((h, -f.astype("int16"), row))
-            row, h, n, f = row[order], h[order], n[order], f[order]
-            upto = np.cumsum(n)  # within a row: length of this chunk and all more frequent ones
-            first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.array([], bool)
-            start = (upto - n)[first][np.cumsum(first) - 1] if len(row) else upto
-            total = np.bincount(row, np.where(f > 0, n, 0), len(chunks)).astype("int64")
-            unkeyed = np.where(b.column(1).to_numpy(zero_copy_only=False)[row], UNKEYED, 0.0)
-            keep = (f > 0) & (upto - start >= unkeyed * total[row])
-            at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep]), pa.array(n[keep].astype("int16")), *(b.column(i).take(at) for i in range(5))], ["h", "n", "cls", "a", "letters", "lq", "lp"]
-            )
+            texts, first = b.column(2).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            for is_a in (True, False):
+                own = np.flatnonzero(first == is_a)
+                mine = [texts[i] for i in own]
+                for at, end in _slices(mine):
+                    flat = Flat(mine[at:end])
+                    t, h = flat.chosen_segments(similar, cost) if is_a else flat.all_segments()
+                    if is_a:
+                        held = level[h % SLOTS] > 0
+                        t, h = once(t[held], h[held])
+                    rows = pa.array(own[at:end][t])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), *(b.column(i).take(rows) for i in (0, 1, 3, 4, 5))], ["h", "query_no", "a", "letters", "letters_2", "lq"])
 
     return run
 
 
-def chunk_overlaps(base: DataFrame, similar: float) -> DataFrame:
-    """Class pairs across sides: ``(cls_a, cls_b, shared, fraction)``, a from side 'a'.
-
-    ``shared`` sums the lengths of the key chunks both classes hold, ``fraction`` is its
-    share of the longer text.
-    """
-    facts = base.select("cls", (F.col("side") == "a").alias("a"), "letters", F.length("q").cast("short").alias("lq"), F.length("p").alias("lp"), "chunks")
-    keys = facts.mapInArrow(_keys(_frequencies(base)), "h bigint, n short, cls bigint, a boolean, letters bigint, lq short, lp int")
-    # copies of a class drop out where their keys meet; the join needs no other exchange
-    keys = keys.repartition("h").dropDuplicates(["h", "cls", "a"])
-    side = lambda s, is_a: keys.where(F.col("a") if is_a else ~F.col("a")).select("h", "n", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "letters", "lq", "lp")])
-    near = lambda c: F.least(f"{c}_a", f"{c}_b") >= F.greatest(f"{c}_a", f"{c}_b") * similar
+def query_pairs(base: DataFrame, similar: float) -> DataFrame:
+    """``(query_no_a, query_no_b)`` of similar bare queries across sides, equal ones included."""
+    queries = materialize(base.select("query_no", (F.col("side") == "a").alias("a"), "q", "letters", "letters_2").dropDuplicates(["query_no", "a"]), "queries")
+    facts = queries.select("query_no", "a", "q", "letters", "letters_2", F.length("q").cast("short").alias("lq"))
+    keys = facts.mapInArrow(_keys(_frequencies(queries), similar), "h bigint, query_no bigint, a boolean, letters bigint, letters_2 bigint, lq short")
+    side = lambda s, is_a: keys.where(F.col("a") if is_a else ~F.col("a")).select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("query_no", "letters", "letters_2", "lq")])
     edits = F.floor(F.greatest("lq_a", "lq_b") * (1 - similar) + 1e-9)
-    alike = F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= edits * 2
-    met = side("a", True).join(side("b", False).drop("n"), "h").where((F.col("cls_a") != F.col("cls_b")) & near("lq") & near("lp") & alike)
-    pairs = met.groupBy("cls_a", "cls_b").agg(F.sum("n").alias("shared"), F.max(F.greatest("lp_a", "lp_b")).alias("longest"))
-    return pairs.select("cls_a", "cls_b", "shared", (F.col("shared") / F.col("longest")).alias("fraction"))
+    # an edit takes one character of a side away at most
+    lacking = lambda x, y: sum(F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in ("letters", "letters_2"))
+    alike = (lacking("a", "b") <= edits) & (lacking("b", "a") <= edits)
+    met = side("a", True).join(side("b", False), "h").where((F.abs(F.col("lq_a") - F.col("lq_b")) <= edits) & alike).select("query_no_a", "query_no_b").distinct()
+    text = lambda s, is_a: queries.where(F.col("a") if is_a else ~F.col("a")).select(F.col("query_no").alias(f"query_no_{s}"), F.col("q").alias(f"q{s}"))
+    return met.join(text("a", True), "query_no_a").join(text("b", False), "query_no_b").where(within("qa", "qb", similar)).select("query_no_a", "query_no_b")
 
 
 def within(a: str, b: str, similar: float):
@@ -252,18 +246,14 @@ def within(a: str, b: str, similar: float):
     return F.expr(f"abs(length({a}) - length({b})) <= {most} and levenshtein({a}, {b}, {most}) >= 0")
 
 
-def class_pairs(base: DataFrame, similar: float = 0.8, least_overlap: float = 0.0) -> DataFrame:
-    """``(cls_a, cls_b)`` of near classes across sides, copies across sides included.
-
-    A pair is compared if it shares a key chunk and ``least_overlap`` of the longer text; the
-    comparison is the edit similarity of both texts.
-    """
-    over = materialize(chunk_overlaps(base, similar).where(F.col("fraction") >= least_overlap).select("cls_a", "cls_b"), "overlaps")
-    asked = over.select(F.col("cls_a").alias("cls")).unionByName(over.select(F.col("cls_b").alias("cls"))).distinct()
-    texts = materialize(base.select("cls", "q", "p").join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "texts")
-    a = texts.select(F.col("cls").alias("cls_a"), F.col("q").alias("qa"), F.col("p").alias("pa"))
-    b = texts.select(F.col("cls").alias("cls_b"), F.col("q").alias("qb"), F.col("p").alias("pb"))
-    near = over.join(a, "cls_a").join(b, "cls_b").where(within("qa", "qb", similar)).where(within("pa", "pb", similar))
+def class_pairs(base: DataFrame, similar: float = 0.8) -> DataFrame:
+    """``(cls_a, cls_b)`` of near classes across sides, copies across sides included."""
+    pairs = materialize(query_pairs(base, similar), "overlaps")
+    classes = lambda s: (
+        base.where(F.col("side") == s).select(F.col("query_no").alias(f"query_no_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("p").alias(f"p{s}"))
+        .join(pairs.select(f"query_no_{s}").distinct(), f"query_no_{s}", "left_semi").dropDuplicates([f"cls_{s}"])
+    )
+    near = pairs.join(classes("a"), "query_no_a").join(classes("b"), "query_no_b").where(F.col("cls_a") != F.col("cls_b")).where(within("pa", "pb", similar))
     same = base.groupBy("cls").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb")).where("na > 0 and nb > 0")
     return near.select("cls_a", "cls_b").unionByName(same.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
 
