@@ -228,8 +228,8 @@ def _keys(name: str, similar: float):
 def query_pairs(base: DataFrame, similar: float) -> DataFrame:
     """``(query_no_a, query_no_b)`` of similar bare queries across sides, equal ones included."""
     queries = materialize(base.select("query_no", (F.col("side") == "a").alias("a"), "q", "letters", "letters_2").dropDuplicates(["query_no", "a"]), "queries")
-    facts = queries.select("query_no", "a", "q", "letters", "letters_2", F.length("q").cast("short").alias("lq"))
-    keys = facts.mapInArrow(_keys(_frequencies(queries), similar), "h bigint, query_no bigint, a boolean, letters bigint, letters_2 bigint, lq short")
+    facts = queries.select("query_no", "a", "q", "letters", "letters_2", F.length("q").alias("lq"))
+    keys = facts.mapInArrow(_keys(_frequencies(queries), similar), "h bigint, query_no bigint, a boolean, letters bigint, letters_2 bigint, lq int")
     side = lambda s, is_a: keys.where(F.col("a") if is_a else ~F.col("a")).select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("query_no", "letters", "letters_2", "lq")])
     edits = F.floor(F.greatest("lq_a", "lq_b") * (1 - similar) + 1e-9)
     # an edit takes one character of a side away at most

@@ -35,3 +35,10 @@ def test_pairs_that_share_only_common_parts(spark):
         rows += [(2 * i, "a", q, p), (2 * i + 1, "b", "".join("힣" if k % 5 == 4 else c for k, c in enumerate(q)), "".join("힣" if k % 5 == 4 else c for k, c in enumerate(p)))]
         want.add((2 * i, 2 * i + 1))
     assert want <= found(spark, rows)
+
+
+def test_very_long_query(spark):
+    r = random.Random(9)
+    long = "".join(r.choice(ALPHABET) for _ in range(40_000))
+    rows = [(0, "a", long, "가나다라마바사"), (1, "b", long[:-3] + "힣", "가나다라마바사"), (2, "b", long[:20_000], "가나다라마바사")]
+    assert found(spark, rows) == {(0, 1)}
