@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from pairloom.llm import overlap
 
 ALPHABET = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호"
@@ -42,3 +44,28 @@ def test_very_long_query(spark):
     long = "".join(r.choice(ALPHABET) for _ in range(40_000))
     rows = [(0, "a", long, "가나다라마바사"), (1, "b", long[:-3] + "힣", "가나다라마바사"), (2, "b", long[:20_000], "가나다라마바사")]
     assert found(spark, rows) == {(0, 1)}
+
+def test_chosen_segments_are_disjoint_and_enough():
+    r = random.Random(7)
+    texts = ["".join(r.choice(ALPHABET) for _ in range(n)) for n in [*range(1, 60), 127, 128, 129, 500, 4001]]
+    noise = np.random.default_rng(1)
+    for cost in (lambda h: np.zeros(h.shape, "float32"), lambda h: noise.random(h.shape, "float32")):
+        flat = overlap.Flat(texts)
+        t, h = flat.chosen_segments(0.8, cost)
+        every = set(zip(*(x.tolist() for x in flat.all_segments())))
+        assert set(zip(t.tolist(), h.tolist())) <= every
+        taken = np.bincount(t, minlength=len(texts))
+        assert all(k >= overlap.segments_needed(len(x), 0.8) for k, x in zip(taken.tolist(), texts))
+
+
+def test_no_count_of_segments_loses_a_pair():
+    r = random.Random(11)
+    full = lambda h: np.ones(h.shape, "float32")
+    misleading = lambda h: (h % 97).astype("float32")
+    left = ["".join(r.choice(ALPHABET) for _ in range(r.choice([*range(4, 60), 150, 400]))) for _ in range(400)]
+    right = [scattered(r, x, 0.2) for x in left]
+    held = set(zip(*(x.tolist() for x in overlap.Flat(right).all_segments())))
+    for cost in (full, misleading):
+        t, h = overlap.Flat(left).chosen_segments(0.8, cost)
+        met = {x[0] for x in zip(t.tolist(), h.tolist()) if x in held}
+        assert met == set(range(400))
