@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators.contracts import config_problems
 from pairloom.sources import adapters as ad
 from pairloom.sources import markup, readers, sinks
 from pairloom.sources.nested import scalar_strings
@@ -124,6 +125,14 @@ def test_nested_strings(spark):
     assert {(r["path"], r["value"]) for r in scalar_strings(df, "k", "j").collect()} == {("$.a[0]", "x"), ("$.a[1].b", "y")}
 
 
+def test_strings_nested_deeply(spark):
+    deep = lambda n: '{"a": [' * n + '{"revision": "r"}' + "]}" * n
+    df = spark.createDataFrame([(n, deep(n)) for n in (1, 3, 4, 8, 12)], "k int, j string")
+    want = {(n, "$" + ".a[0]" * n + ".revision") for n in (1, 3, 4, 8, 12)}
+    assert {(r["k"], r["path"]) for r in scalar_strings(df, "k", "j").collect()} == want
+    assert {(r["k"], r["path"]) for r in config_problems(df, "k", "j", ["revision"]).collect()} == want
+
+
 def test_summaries_and_objects(spark, tmp_path):
     for i, at in enumerate(["2024-01-02", "2024-01-01"]):
         (tmp_path / str(i)).mkdir()
