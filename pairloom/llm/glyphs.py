@@ -187,3 +187,48 @@ def bare_body(query: str | None) -> str | None:
     if m := _STORED.match(text):
         text = text[m.end() :]
     return _NOT_BARE.sub("", text.lower())
+
+
+#: In ``bare_codes``: the text that holds this code point is worked on by itself.
+_ALONE = 0xFFFFFFFF
+
+
+@lru_cache(maxsize=None)
+def bare_codes():
+    """For every code point its bare form as one code point, 0 if it has none; ``_ALONE``
+    for those whose bare form depends on neighbours or is longer."""
+    import numpy as np
+
+    out = np.zeros(sys.maxunicode + 1, dtype="<u4")
+    for cp in range(sys.maxunicode + 1):
+        low = chr(cp).lower()
+        if cp == 0x3A3 or len(low) != 1:  # the small final sigma depends on its place
+            out[cp] = _ALONE
+        elif low.isalnum():
+            out[cp] = ord(low)
+    out[list(tables()["unstable"])] = _ALONE
+    return out
+
+
+def bare_texts(texts: list[str | None], one=bare_text) -> list[str | None]:
+    """``bare_text`` of many texts by one table look-up; ``one`` is called for the unusual ones."""
+    import numpy as np
+
+    flat = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    size = np.fromiter((len(t) if t else 0 for t in texts), "int64", len(texts))
+    made = bare_codes()[flat]
+    upto = lambda mask: np.r_[0, np.cumsum(mask)]
+    ends = np.r_[0, np.cumsum(size)]
+    alone = upto(made == _ALONE)[ends]
+    made[made == _ALONE] = 0
+    kept = upto(made > 0)[ends].tolist()
+    flat_text = made[made > 0].tobytes().decode("utf-32-le", "surrogatepass")
+    odd = (np.diff(alone) > 0).tolist()
+    return [None if t is None else one(t) if x else flat_text[a:b] for t, x, a, b in zip(texts, odd, kept, kept[1:])]
+
+
+def bare_bodies(queries: list[str | None]) -> list[str | None]:
+    """``bare_body`` of many queries."""
+    cut = [q[m.end() :] if q and (m := _STORED.match(q)) and not _python_tools()[1].search(q) else q for q in queries]
+    # an unusual query is taken as stored, its instruction included
+    return bare_texts(cut, bare_body)

@@ -160,17 +160,19 @@ def _overlap_rows(spark, d):
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlap_rows(spark, d)
+    """Pairs of one train and one held-out row, the smaller row id first."""
+    return _overlap_rows(spark, d).select(F.least("row_id_a", "row_id_b").alias("row_id_a"), F.greatest("row_id_a", "row_id_b").alias("row_id_b"))
 
 
 @query
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out rows with an equal or near train row, per split and source."""
+    """Held-out rows with an equal or near train row, per split and source; ``mean_fraction`` averages
+    the greatest overlap fraction of each such row."""
     rows = table(spark, d, "candidates").select(F.col("row_id").alias("row_id_b"), fields.split_name(F.col("split")).alias("split"), fields.source_name(F.col("source_id")).alias("source_id"))
-    met = _overlap_rows(spark, d).groupBy("row_id_b").agg(F.count(F.lit(1)).alias("n"))
+    met = _overlap_rows(spark, d).groupBy("row_id_b").agg(F.count(F.lit(1)).alias("n"), F.max("fraction").alias("fraction"))
     held = rows.where(F.col("split").isin("validation", "test")).join(met, "row_id_b", "left")
     return held.groupBy("split", "source_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("n").alias("overlapping_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_links")
+        F.count(F.lit(1)).alias("rows"), F.count("n").alias("overlapping_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_links"), F.round(F.avg("fraction"), 6).alias("mean_fraction")
     )
 
 

@@ -35,7 +35,7 @@ def test_overlap_against_brute_force(spark):
         edit = lambda t, n: "".join(c if k % n else "힣" for k, c in enumerate(t))
         rows.append((2 * i + 1, "b", q if kind < 3 else edit(q, 8), [p, p.upper() + "!", edit(p, 40), edit(p, 30), word(len(p))][kind]))
     rows += [(900, "a", None, "x"), (901, "b", "!!!", "..."), (902, "a", "", ""), (903, "b", rows[0][2], rows[0][3]), (904, "a", rows[0][2], rows[0][3]), (905, "a", "긴" * 20, "나" * 20000), (906, "b", "긴" * 20, "나" * 20000 + "다")]
-    df = spark.createDataFrame(rows, "row_id bigint, side string, query string, positive string").selectExpr("*", "1 as cls", "2 as chunks", "3 as h", "4 as q", "5 as p")
+    df = spark.createDataFrame(rows, "row_id bigint, side string, query string, positive string").selectExpr("*", "1 as cls", "2 as chunks", "3 as h", "4 as q", "5 as p", "6 as no", "7 as text")
     base = overlap.records(df, 0.8).persist()
     got = {(x["row_id_a"], x["row_id_b"]) for x in overlap.row_pairs(overlap.class_pairs(base), base).collect()}
     bare = [(i, s, glyphs.bare_text(q) or "", glyphs.bare_text(p) or "") for i, s, q, p in rows if i != 905 and i != 906]
