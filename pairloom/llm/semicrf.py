@@ -90,7 +90,7 @@ class SemiCRF:
                 edge[f] = edge.get(f, 0.0) + math.exp(fwd[j] + self.change(spans[j].kind, c.kind) + s[i] + bwd[i] - z)
         return z, node, edge
 
-    def fit(self, lines: list[tuple[list[Span], set[tuple[int, int, int]]]], rounds: int = 12, rate: float = 0.4, decay: float = 1e-3) -> SemiCRF:
+    def fit(self, lines: list[tuple[list[Span], set[tuple[int, int, int]]]], rounds: int = 8, rate: float = 0.1, decay: float = 1e-3) -> SemiCRF:
         """Maximum likelihood by AdaGrad; each line is its candidates and the true (start, end, kind)."""
         seen: dict[str, float] = {}
         for _ in range(rounds):

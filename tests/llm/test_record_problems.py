@@ -201,14 +201,46 @@ def test_held_out_accuracy_of_the_model():
     assert hit / true > 0.97 and hit / made > 0.97
 
 
+# Sentences without a listed cue, and the names in them.
+HAND = [
+    ("김서연이 창문을 닫았다", ["김서연"]), ("그 책은 박민준의 것이다", ["박민준"]), ("아침에 이지우를 만났다", ["이지우"]), ("최예진과 정우성은 친구다", ["최예진", "정우성"]), ("막내 윤하준이 웃었다", ["윤하준"]), ("홍길동 부사장이 말했다", ["홍길동"]),
+    ("장수진에게 편지를 썼다", ["장수진"]), ("우리는 한상현을 기억한다", ["한상현"]), ("조은경 님께", ["조은경"]), ("임재현 교수가 왔다", ["임재현"]), ("발신: 최도윤", ["최도윤"]), ("저는 이영희라고 합니다", ["이영희"]), ("강민호도 같이 갔다", ["강민호"]),
+    ("신동욱 팀장의 메모", ["신동욱"]), ("서기: 오지훈", ["오지훈"]), ("송미경은 답이 없었다", ["송미경"]), ("문은주가 노래했다", ["문은주"]), ("남궁민수가 왔다", ["남궁민수"]), ("김민수가 회의에 참석했다", ["김민수"]), ("남선생님께 물었다", []),
+    ("문화재가 늘었다", []), ("임시로 지정한 자료를 본다", []), ("이용자가 신용한도를 묻는다", []),
+    ("My name is John Smith", ["John Smith"]), ("We met Sarah Connor yesterday.", ["Sarah Connor"]), ("Manager: Peter Parker", ["Peter Parker"]), ("Regards, Alice Walker", ["Alice Walker"]), ("I asked David Brown to come.", ["David Brown"]),
+    ("Emily Johnson signed it", ["Emily Johnson"]), ("the note from Laura Palmer", ["Laura Palmer"]), ("Author: Jane Foster", ["Jane Foster"]), ("Thank you, Robert Miles", ["Robert Miles"]), ("She knows Michael B. Jordan well.", ["Michael B. Jordan"]), ("The Annual Report is out.", []),
+]
+
+
+def test_names_without_listed_cues():
+    model, hit, true, made = SemiCRF(dict(pii.trained_weights())), 0, 0, 0
+    for line, names in HAND:
+        got = [line[a:b] for kind, a, b in pii.find_items(line, model) if kind == "name"]
+        hit, true, made = hit + len(set(got) & set(names)), true + len(names), made + len(got)
+    assert hit / true >= 0.9 and hit == made
+
+
+def test_addresses_of_other_shapes():
+    model = SemiCRF(dict(pii.trained_weights()))
+    for line, item in [("1600 Pennsylvania Ave NW, Washington", "1600 Pennsylvania Ave NW, Washington"), ("Send to PO Box 123.", "PO Box 123"), ("Address: 471 Old Tannery Ave., East Varley, ID: 995 17 4378", "471 Old Tannery Ave., East Varley")]:
+        assert item in [line[a:b] for kind, a, b in pii.find_items(line, model) if kind == "address"]
+
+
+WRITTEN = [
+    "전화 010–1234–5678", "전화 010\u00a01234\u30005678", "010．1234．5678", "kim at host.com", "kim at host (dot) com", "kim<at>host.com", "kim 골뱅이 host 점 com", "홍길동\u00a0과장", "가온시 별하로\u300012", "Ｍ１２３４５６７８", "+82 10 1234 5678", "공일공-일이삼사-오육칠팔",
+    "one two three four five six seven", "M123A4567", "AB1234567", "12-34-567890-12", "사서함 12호", "P.O. Box 9", "Walker, Alice", "Ａlice Ｗalker", "이름： 김 새봄", "담당자는 황보든", "성명 김\u2009새봄", "독고영재 귀하",
+]
+
+
 def test_trigger_keeps_every_line_with_candidates():
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    lines = [t for t, _ in pii.training_lines(600, seed=5)] + TEXT.splitlines()
+    lines = [t for t, _ in pii.training_lines(1500, seed=5)] + TEXT.splitlines() + [x for x, _ in HAND] + WRITTEN
     kept = pc.match_substring_regex(pa.array(lines), spans.TRIGGER).to_pylist()
     for line, k in zip(lines, kept):
         assert k or not spans.candidates(line.translate(spans.WIDE)), line
+    assert sum(bool(spans.candidates(x.translate(spans.WIDE))) for x in WRITTEN) > 20
 
 
 def test_decode_joins_boundaries_and_types():
