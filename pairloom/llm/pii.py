@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.semicrf import SemiCRF
-from pairloom.llm.spans import DIGIT_WORDS, ENGLISH_GIVEN, FAMILY, FAMILY_2, GIVEN_1, GIVEN_2, KINDS, LONG_NOUNS, NOUN_SET, NOUNS, TRIGGER, WIDE, candidates
+from pairloom.llm.spans import DIGIT_WORDS, ENGLISH_GIVEN, FAMILY, FAMILY_2, GIVEN_1, GIVEN_2, KINDS, LONG_NOUNS, NOUN_SET, NOUNS, WIDE, WIDE_CLASS, candidates, open_gates
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -218,6 +218,7 @@ def _lines(text: str):
 
 def _find(weights, redact: bool):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -226,11 +227,11 @@ def _find(weights, redact: bool):
             texts = batch.column(1)
             lines = pc.split_pattern_regex(texts, r"[\r\n]")
             flat, owner = lines.flatten(), pc.list_parent_indices(lines)
-            hit = pc.match_substring_regex(flat, TRIGGER)
-            wanted = pc.indices_nonzero(hit).to_pylist()
+            wide = pc.match_substring_regex(flat, WIDE_CLASS)
+            flat = pc.replace_with_mask(flat, wide, pa.array([x.translate(WIDE) for x in flat.filter(wide).to_pylist()], flat.type))
+            gates = open_gates(flat)
+            wanted = np.flatnonzero(gates)
             sizes = pc.add(pc.utf8_length(flat), 1).to_numpy()
-            import numpy as np
-
             ends = np.cumsum(sizes)
             own = owner.to_numpy()
             first: dict[int, int] = {}
@@ -238,10 +239,10 @@ def _find(weights, redact: bool):
                 if o not in first:
                     first[o] = int(ends[i] - sizes[i])
             found: dict[int, list] = {}
-            for i, line in zip(wanted, flat.take(pa.array(wanted, pa.int64())).to_pylist()):
+            for i, line in zip(wanted.tolist(), flat.take(pa.array(wanted)).to_pylist()):
                 o = int(own[i])
                 base = int(ends[i] - sizes[i]) - first[o]
-                for c in model.decode(candidates(line.translate(WIDE))):
+                for c in model.decode(candidates(line, gates=int(gates[i]))):
                     found.setdefault(o, []).append((KINDS[c.kind], base + c.start, base + c.end))
             keys = batch.column(0)
             if redact:

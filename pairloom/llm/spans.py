@@ -41,8 +41,10 @@ ENGLISH_GIVEN = (
 DIGIT_WORDS = "공영일이삼사오육륙칠팔구"
 ENGLISH_DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 
-#: Wide characters read as their ASCII counterpart, one for one.
-WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x2007: 0x20, 0x202F: 0x20, 0x2009: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D, 0x2212: 0x2D}
+#: Wide characters read as their ASCII counterpart, one for one; all white space is one sign.
+WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {
+    **dict.fromkeys([0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], 0x20), 0x2010: 0x2D, 0x2011: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D, 0x2212: 0x2D,
+}
 
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|AT)\s?[\])}>]\s?|\s(?:at|AT|골뱅이|앳)\s|골뱅이)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]\s?|\s(?:dot|DOT|닷|점)\s|닷|점)"
@@ -110,16 +112,28 @@ _CAP_BEFORE_RX = re.compile(r"([A-Z][a-z'’]+)\s$")
 _SENTENCE_RX = re.compile(rf"(?:{_SENTENCE}|Regards|Sincerely|Manager|Director)$")
 _LEVEL = [("특별자치도", 5), ("특별자치시", 5), ("특별시", 5), ("광역시", 5), ("도", 5), ("시", 4), ("군", 4), ("구", 3), ("읍", 2), ("면", 2), ("동", 1), ("리", 1), ("가", 1)]
 
-_WIDE_CLASS = "[" + "".join(sorted(map(chr, WIDE))) + "]"
-#: RE2 pattern: a line without a match holds no candidate (checked by a test). A line with a
-#: wide character always matches, so the rest need not know them.
-TRIGGER = (
-    rf"{_WIDE_CLASS}|[0-9]|@|[Aa][Tt]\s?[\])}}>]|\s(?:at|AT)\s|골뱅이|앳"
-    rf"|[공영][{DIGIT_WORDS}]{{1,2}}[\s-]{{0,3}}[{DIGIT_WORDS}]|(?i:(?:{ENGLISH_DIGITS})[\s,-]{{1,2}}(?:{ENGLISH_DIGITS})\b)"
-    rf"|(?:{_NAME_CUE})(?:은|는)?\s*[:：]?\s*{_ONE}|[가-힣]\s?[:：]\s*{_ONE}|{_ONE}\s?[가-힣]{{2}}\s?(?:{'|'.join(ROLES)})"
-    rf"|(?:^|[^가-힣])(?:{FAMILY_2}|{_ONE})[{GIVEN_1}][{GIVEN_2}]"
-    r"|[A-Z][a-z'’]+,?\s(?:[A-Z]\.\s)?[A-Z][a-z'’]"
-)
+#: RE2 pattern of the lines that ``WIDE`` changes.
+WIDE_CLASS = "[" + "".join(sorted(map(chr, WIDE))) + "]"
+#: RE2 patterns: a line (read through ``WIDE``) without a match holds no span of the grammars that
+#: name the gate (checked by a test).
+GATES = {
+    "mail": r"@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT|골뱅이|앳)\s|골뱅이",
+    "number": r"[0-9](?:[\s.()\-]{0,4}[0-9]){6}",
+    "words": rf"[공영][{DIGIT_WORDS}]",
+    "english_words": rf"(?i)(?:{ENGLISH_DIGITS})[\s,-]{{1,2}}(?:{ENGLISH_DIGITS})",
+    "passport": r"[A-Z](?:[0-9]{3}|[A-Z][0-9]{3})",
+    "korean": r"(?:로|길)\s?(?:지하\s?)?[0-9]|[0-9]\s?번지",
+    "english": r"[0-9][A-Z]?\s[A-Z]",
+    "box": r"Box\s[0-9]|사서함",
+    "label": rf"(?:{_NAME_CUE})(?:은|는)?\s*[:：]?\s*{_ONE}|[가-힣]\s?[:：]\s*{_ONE}",
+    "role": rf"{_ONE}\s?[가-힣]{{2}}\s?(?:{'|'.join(ROLES)})",
+    "shape": rf"(?:^|[^가-힣])(?:{FAMILY_2}|{_ONE})[{GIVEN_1}][{GIVEN_2}]",
+    "english_name": r"[A-Z][a-z'’]+\s(?:[A-Z]\.\s)?[A-Z][a-z'’]",
+    "turned": r"[A-Z][a-z'’]+,\s[A-Z][a-z'’]",
+}
+_GATE_OF = {"mail": "mail", "words": "words", "english_words": "english_words", "passport": "passport", "korean": "korean", "english": "english", "box": "box"}
+_BIT = {g: 1 << i for i, g in enumerate(GATES)}
+_GATED = [(kind, name, rx, _BIT[_GATE_OF.get(name, "number")]) for kind, name, rx in GRAMMARS]
 
 
 NOUN_SET = frozenset(NOUNS + LONG_NOUNS)
@@ -218,18 +232,29 @@ def _english_name(s: str, start: int, end: int, turned: bool) -> Span:
     return Span(start, end, KINDS.index("name"), _features("name", name, l, r, given + before + more + title) + (f"ew={_word(s, start)},{before}{more}", f"given={given},l={l}", f"around={before}{more}{title}"))
 
 
-def candidates(s: str, nouns: frozenset[str] = NOUN_SET) -> list[Span]:
-    """All candidate spans of one line (already read one for one through ``WIDE``)."""
+def open_gates(lines):
+    """For each line of an Arrow array (read through ``WIDE``) the bits of the gates it passes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    bits = np.zeros(len(lines), dtype="int64")
+    for gate, pattern in GATES.items():
+        bits |= np.where(pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False), _BIT[gate], 0)
+    return bits
+
+
+def candidates(s: str, nouns: frozenset[str] = NOUN_SET, gates: int = -1) -> list[Span]:
+    """All candidate spans of one line (already read one for one through ``WIDE``) that the open gates let pass."""
     out = []
-    for kind, name, rx in GRAMMARS:
-        for m in rx.finditer(s):
+    for kind, name, rx, bit in _GATED:
+        for m in rx.finditer(s) if gates & bit else ():
             out.append(_span(s, m.start(), m.end(), kind, name))
             if name == "korean":  # the chain of units may begin at any of its units
                 for u in list(re.finditer(rf"{_UNIT}\s+", m.group()))[1:4]:
                     out.append(_span(s, m.start() + u.start(), m.end(), kind, name))
     seen = set()
-    for rx in (_NAME_RX, _NAMED_ROLE_RX):
-        for m in rx.finditer(s):
+    for rx, gate in ((_NAME_RX, "label"), (_NAMED_ROLE_RX, "role")):
+        for m in rx.finditer(s) if gates & _BIT[gate] else ():
             at = m.start(1)
             spaced = s[at + 1 : at + 2] == " "
             for n in (4,) if spaced else (2, 3, 4):
@@ -240,12 +265,12 @@ def candidates(s: str, nouns: frozenset[str] = NOUN_SET) -> list[Span]:
                         continue
                     seen.add((at, end))
                     out.append(_korean_name(s, at, end, nouns))
-    for m in _SHAPE_RX.finditer(s):
+    for m in _SHAPE_RX.finditer(s) if gates & _BIT["shape"] else ():
         if m.span(1) not in seen:
             seen.add(m.span(1))
             out.append(_korean_name(s, *m.span(1), nouns))
     for rx, turned in ((_EN_NAME_RX, False), (_EN_TURNED_RX, True)):
-        for m in rx.finditer(s):
+        for m in rx.finditer(s) if gates & _BIT["turned" if turned else "english_name"] else ():
             out.append(_english_name(s, *m.span(1), turned))
     out.sort(key=lambda c: (c.end, c.start))
     return out
