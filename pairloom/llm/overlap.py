@@ -89,7 +89,9 @@ class Flat:
         first = np.flatnonzero(new)
         nth = (np.arange(len(t)) - first[np.cumsum(new) - 1]).astype("uint64") if len(t) else c
         with np.errstate(over="ignore"):
-            bit = (c * np.uint64(0x9E3779B97F4A7C15) + nth * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(57)
+            # small letters lie far enough apart for their usual counts
+            place = np.where(c < 128, c * np.uint64(5), c * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(57))
+            bit = (place + nth) & np.uint64(127)
         bits = np.zeros((len(self.size), 128), dtype=bool)
         bits[t, bit.astype("int64")] = True
         words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
