@@ -105,7 +105,7 @@ _NAMED_ROLE_RX = re.compile(rf"(?<![가-힣])({_ONE}\s?[가-힣]{{2}})(?=\s?{_RO
 # a name by its own syllables, anywhere
 _SHAPE_RX = re.compile(rf"(?<![가-힣])((?:{FAMILY_2}|{_ONE})[{GIVEN_1}][{GIVEN_2}])(?=[^가-힣]|$|{_PARTICLE}|{_ROLE})")
 _EN_GIVEN_RX = re.compile(rf"(?:{ENGLISH_GIVEN})\b")
-_EN_NAME_RX = re.compile(rf"(?<![A-Za-z'’])(?=((?!(?:{_SENTENCE})\b){_EN_NAME}(?:\s[A-Z]\.)?\s(?!{_STREET}\b){_EN_NAME})(?![A-Za-z]))")
+_EN_NAME_RX = re.compile(rf"(?<![A-Za-z'’])(?=((?!(?:{_SENTENCE})\b){_EN_NAME}(?:\s[A-Z]\.)?\s(?!(?:{_SENTENCE}|{_STREET})\b){_EN_NAME})(?![A-Za-z]))")
 _EN_TURNED_RX = re.compile(rf"(?<![A-Za-z'’])(?=((?!(?:{_SENTENCE})\b){_EN_NAME},\s(?!(?:{_SENTENCE})\b){_EN_NAME})(?![A-Za-z]))")
 _MORE_RX = re.compile(rf"\s(?!(?:{_SENTENCE})\b)[A-Z][a-z]")
 _CAP_BEFORE_RX = re.compile(r"([A-Z][a-z'’]+)\s$")
@@ -259,7 +259,7 @@ def candidates(s: str, nouns: frozenset[str] = NOUN_SET, gates: int = -1) -> lis
             spaced = s[at + 1 : at + 2] == " "
             for n in (4,) if spaced else (2, 3, 4):
                 end = at + n
-                if end <= len(s) and (at, end) not in seen and " " not in s[at + 2 : end]:
+                if end <= m.end(1) and (at, end) not in seen and " " not in s[at + 2 : end]:
                     r = _right(s, end)
                     if (r == "hangul" or s[end : end + 1].isalnum()) and r not in ("role", "others", "particle", "particles") and not (spaced is False and n == 3 and s[end : end + 1] in "님씨"):
                         continue
