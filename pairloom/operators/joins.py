@@ -48,3 +48,28 @@ def join_members(left: DataFrame, key: str, members: DataFrame, row: str, piece:
     pieces = cut.groupBy(F.col("__k").alias("__kp")).agg(F.max("__piece").alias("__last"))
     met = left.join(pieces, F.col(key) == F.col("__kp")).withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__last"))))
     return met.join(cut, (F.col(key) == F.col("__k")) & (F.col("__at") == F.col("__piece"))).drop("__k", "__kp", "__last", "__at", "__piece")
+
+
+def hot_keys(df: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """``(__k, __last)`` of keys with more than ``most`` rows, or more than a ten-thousandth of all,
+    and the number of pieces less one to cut them in. There are 10,000 such keys at most."""
+    counts = materialize(df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    bound = max(most, (counts.agg(F.sum("__n")).first()[0] or 0) // 10_000)
+    return counts.where(F.col("__n") > bound).select("__k", F.expr(f"cast(__n div {bound} as int)").alias("__last"))
+
+
+def with_pieces(df: DataFrame, key: str, hot: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``__salt``: the piece of a hot key a row falls in by a hash of ``by``; 0 for other keys."""
+    salt = F.when(F.col("__last").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__last") + 1).cast("int"))
+    return df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__k")), "left").withColumn("__salt", salt).drop("__k", "__last")
+
+
+def join_unique(left: DataFrame, key: str, right: DataFrame, most: int = 100_000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per ``key`` at most.
+
+    The rows of a hot key are spread by their hash over as many copies of its right row, so no
+    task holds all of them. The table of hot keys has 10,000 rows at most and is broadcast.
+    """
+    hot = hot_keys(left, key, most)
+    copies = right.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__last", F.lit(0))))).drop("__k", "__last")
+    return with_pieces(left, key, hot, left.columns).join(copies, [key, "__salt"]).drop("__salt")

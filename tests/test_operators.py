@@ -249,3 +249,11 @@ def test_operators_take_empty_tables(spark):
     assert dc.minhash(none, "row_id", "t").count() == 0
     assert cl.duplicates_beyond_first(none, ["t"]).first()["duplicates"] == 0
     assert number_in_order(none, ["source_id"], [F.col("len")], "n").count() == 0
+
+
+def test_hot_group_is_spread(spark):
+    left = spark.range(5000).selectExpr("id", "case when id % 3 > 0 then 'hot' else concat('k', id) end as k")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("none", 4)], "k string, v int")
+    got = joins.join_unique(left, "k", right, most=50)
+    assert got.columns == ["k", "id", "v"] and got.groupBy("k").count().sort("k").collect() == [("hot", 3333), ("k0", 1), ("k3", 1)]
+    assert joins.join_unique(left.limit(0), "k", right).count() == 0
