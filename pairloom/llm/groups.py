@@ -1,12 +1,13 @@
 """Problem 2: splits that keep related records together.
 
-Method: distributed union-find. Every partition builds a local forest of its edges and
-passes on one edge per non-root; edges between roots that share a node form the next,
-smaller graph, merged in fewer and fewer partitions. The last graph is solved in one
-task only below ``single_task_edges``; a graph that stays larger is contracted by
-star rounds (each node of one half joins a neighbour of the other half) until it fits,
-so no task ever holds an unbounded component. Groups are then dealt largest first to
-the split furthest below its target.
+Method: distributed union-find. Every task builds local forests of at most
+``single_task_edges`` of its edges at a time and passes on one edge per non-root; edges
+between roots that share a node form the next, smaller graph, merged in fewer and fewer
+tasks, but never fewer than hold ``single_task_edges`` each. The last graph is solved in one
+task once it fits; a graph that local forests no longer shrink is contracted by star rounds
+(each node of one half joins a neighbour of the other half), so no task ever holds an
+unbounded component. Groups are then dealt largest first to the split furthest below its
+target.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.joins import join_members
+from pairloom.operators.joins import join_members, join_unique
 from pairloom.operators.numbering import number_within
 from pairloom.session import materialize
 
@@ -24,26 +25,41 @@ EDGE = "a string, b string"
 STAR = "node string, root string"
 
 
-def _local_forest(batches: Iterator) -> Iterator:
-    """Edges in, (node, root) out: union by smaller name, path halving."""
-    import pyarrow as pa
+def _local_forests(most: int):
+    """Edges in, (node, root) out: union by smaller name, path halving, a new forest after ``most`` edges."""
 
-    parent: dict[str, str] = {}
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def find(x: str) -> str:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
+        parent: dict[str, str] = {}
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for at in range(0, len(nodes), 50_000):
-        some = nodes[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([find(x) for x in some], pa.string())], ["node", "root"])
+        def find(x: str) -> str:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        def trees():
+            nodes = list(parent)
+            for at in range(0, len(nodes), 50_000):
+                some = nodes[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([find(x) for x in some], pa.string())], ["node", "root"])
+            parent.clear()
+
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if held and held + part.num_rows > most:
+                    yield from trees()
+                    held = 0
+                for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    a, b = find(a), find(b)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                held += part.num_rows
+        yield from trees()
+
+    return run
 
 
 def _root_graph(forest: DataFrame) -> DataFrame:
@@ -73,32 +89,35 @@ def components(edges: DataFrame, fan_in: int = 8, single_task_edges: int = 2_000
     Null ends are dropped; a self-loop gives a component of one.
     """
     edges = edges.select(F.col("a").cast("string"), F.col("b").cast("string")).where("a is not null and b is not null")
-    parts = edges.sparkSession.sparkContext.defaultParallelism
-    first = materialize(edges.mapInArrow(_local_forest, STAR), "forest")
+    parts, single = edges.sparkSession.sparkContext.defaultParallelism, max(1, single_task_edges)
+    forests = lambda graph: materialize(graph.mapInArrow(_local_forests(single), STAR), "forest")
+    first = forests(edges)
     maps = [first.groupBy("node").agg(F.min("root").alias("root"))]
     graph = materialize(_root_graph(first), "edges")
-    size, salt = graph.count(), 0
+    size, salt, starred = graph.count(), 0, False
     while size:
-        if size <= single_task_edges:
-            maps.append(materialize(graph.coalesce(1).mapInArrow(_local_forest, STAR), "forest"))
+        if size <= single:
+            maps.append(forests(graph.coalesce(1)))
             break
-        parts = max(2, parts // fan_in)
-        forest = materialize(graph.repartition(parts, "a").mapInArrow(_local_forest, STAR), "forest")
+        parts = max(2, parts // fan_in, -(-size // single))
+        forest = forests(graph.repartition(parts, "a"))
         maps.append(forest.groupBy("node").agg(F.min("root").alias("root")))
         smaller = materialize(_root_graph(forest), "edges")
         left = smaller.count()
         if left > size // 2:  # local forests no longer shrink it
             smaller, moves = _star_round(smaller, salt)
             maps.append(moves)
-            left, salt = smaller.count(), salt + 1
+            left, salt, starred = smaller.count(), salt + 1, True
         graph, size = smaller, left
     labels = maps[0]
     for m in maps[1:]:
         up = m.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
         labels = labels.join(up, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root"))
     labels = materialize(labels, "labels")
+    if not starred:  # forests keep the smallest name as root
+        return labels.withColumnRenamed("root", "component")
     names = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(names, "root").select("node", "component")
+    return materialize(join_unique(labels, "root", names).select("node", "component"), "labels")
 
 
 def deal(sizes: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple[int, int, str]]:
@@ -136,9 +155,9 @@ def assign_splits(df: DataFrame, key: str, links: list[str], shares: dict[str, f
     rows = df.select(F.col(key).alias("__key"), F.filter(F.array(*names), lambda x: x.isNotNull()).alias("ends"))
     anchor = F.element_at("ends", 1)
     edges = rows.where(F.size("ends") > 0).select(anchor.alias("a"), F.explode("ends").alias("b")).distinct()
-    labels = components(edges).withColumnRenamed("node", "__node")
+    labels = components(edges).withColumnRenamed("node", "__a")
     linked = rows.where(F.size("ends") > 0).select("__key", anchor.alias("__a"))
-    labelled = linked.join(labels, F.col("__a") == F.col("__node")).select("__key", "component")
+    labelled = join_unique(linked, "__a", labels).select("__key", "component")
     alone = rows.where(F.size("ends") == 0).select("__key", F.concat(F.lit("row:"), F.col("__key").cast("string")).alias("component"))
     labelled = materialize(labelled.unionByName(alone), "labelled")
     groups = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -157,7 +176,7 @@ def assign_splits(df: DataFrame, key: str, links: list[str], shares: dict[str, f
     chosen = ranked.join(table, F.col("size") == F.col("s")).select(
         "component", F.element_at(F.filter("runs", lambda r: r["hi"] > F.col("nth")), 1)["split"].alias("split")
     )
-    return labelled.join(chosen, "component").select(F.col("__key").alias(key), "component", "split")
+    return join_unique(labelled, "component", chosen).select(F.col("__key").alias(key), "component", "split")
 
 
 def linked_pairs(labels: DataFrame, prefix: str) -> DataFrame:

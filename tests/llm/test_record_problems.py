@@ -8,6 +8,7 @@ import pytest
 
 from pairloom.llm import fields, formatting, glyphs, groups, mixing, overlap, pii, spans, topn
 from pairloom.llm.semicrf import SemiCRF
+from pairloom.operators import joins
 
 
 def distance(a: str, b: str) -> int:
@@ -56,6 +57,54 @@ def test_components_and_splits(spark):
     assert groups.components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["path", "star", "stars", "random"])
+def test_components_of_a_graph_above_one_task(spark, shape):
+    r = random.Random(4)
+    pairs = {
+        "path": [(i, i + 1) for i in range(400)], "star": [(0, i) for i in range(1, 400)], "stars": [(i % 7 + 1000, i) for i in range(400)],
+        "random": [(r.randrange(500), r.randrange(500)) for _ in range(420)],
+    }[shape]
+    r.shuffle(pairs)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    named = [(f"n{a:04}", f"n{b:04}") for a, b in pairs]
+    for a, b in named:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(named, "a string, b string").repartition(2)
+    got = {x["node"]: x["component"] for x in groups.components(df, single_task_edges=37).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_a_forest_holds_a_bounded_number_of_edges():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{i}" for i in range(25)]), pa.array([f"b{i}" for i in range(25)])], ["a", "b"])
+    assert [b.num_rows for b in groups._local_forests(10)(iter([batch, batch.slice(0, 3)]))] == [20, 20, 16]
+
+
+def test_deal_equals_dealing_one_by_one():
+    r = random.Random(6)
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    for _ in range(20):
+        sizes = sorted({r.randrange(1, 60) for _ in range(8)}, reverse=True)
+        counts = [(s, r.randrange(1, 30)) for s in sizes]
+        total = sum(s * n for s, n in counts)
+        gap = {k: total * v for k, v in shares.items()}
+        for s, n in counts:
+            for _ in range(n):
+                gap[max(gap, key=lambda k: (round(gap[k], 6), -list(gap).index(k)))] -= s
+        got = {k: total * v for k, v in shares.items()}
+        for s, n, k in groups.deal(counts, shares):
+            got[k] -= s * n
+        assert max(abs(got[k] - gap[k]) for k in shares) <= max(sizes[-3:])
+
+
 def test_assign_splits_keeps_groups_and_shares(spark):
     rows = [(i, f"r{i % 37}" if i % 3 else None, f"h{i // 4}" if i % 2 else None) for i in range(900)] + [(5, "r5", None)]
     df = spark.createDataFrame(rows, "row_id bigint, repo string, doc string").selectExpr("*", "1 as component", "2 as size", "'x' as split")
@@ -100,17 +149,52 @@ def test_top_n(spark, tmp_path):
     assert topn.top_n(df.limit(0), "generated_id", "candidate_id", "scored_at", "score_row_id", "retriever_score").count() == 0
 
 
-def test_top_n_skips_row_groups_of_hot_groups(spark):
-    rows = spark.range(60_000).selectExpr("'hot' as grp", "concat('c', id) as item", "id as row_key", "cast(id as double) as score").coalesce(2)
-    path = topn.write_clustered(rows, "skips", row_group_bytes=1 << 14)
+def _clustered(spark, rows, most=100_000, **options):
     import glob
 
     import pyarrow.parquet as pq
 
-    parts = glob.glob(path.removeprefix("file://") + "/*.parquet")
-    assert max(pq.ParquetFile(p).metadata.num_row_groups for p in parts) > 3
-    top = topn.read_top_n(spark, path, 3).collect()
-    assert sorted(r["row_key"] for r in top) == [59_997, 59_998, 59_999]
+    low, high = rows.selectExpr("percentile_approx(score, 0.5, 200)", "max(score)").first()
+    path = topn.write_clustered(rows, joins.hot_keys(rows, "grp", most), low, high, "skips", **options)
+    return path, [pq.ParquetFile(p) for p in glob.glob(path.removeprefix("file://") + "/*.parquet")]
+
+
+def test_top_n_reads_the_upper_row_groups_only(spark):
+    """Row groups of many groups: those below the N-th score of all their groups stay unread."""
+    rows = spark.range(120_000).selectExpr("concat('g', id % 200) as grp", "concat('c', id) as item", "id as row_key", "cast(xxhash64(id) as double) / 1e18 as score")
+    path, files = _clustered(spark, rows, row_group_bytes=1 << 15)
+    total = skipped = 0
+    for f in files:
+        read = []
+        topn.skim(f, 5, read)
+        tops = {i: f.metadata.row_group(i).column(3).statistics.max for i in range(f.metadata.num_row_groups)}
+        total, skipped = total + len(tops), skipped + len(tops) - len(read)
+        # what was left out lies below every N-th score of its groups
+        rest = [i for i in tops if i not in read]
+        best = {}
+        for g, s in zip(*(f.read().column(c).to_pylist() for c in ("grp", "score"))):
+            best.setdefault(g, []).append(s)
+        fifth = {g: sorted(v)[-5] for g, v in best.items()}
+        assert all(tops[i] < fifth[g] for i in rest for g in set(f.read_row_group(i, columns=["grp"]).column(0).to_pylist()))
+    assert total > 20 and skipped > total / 2
+    want = rows.selectExpr("*", "row_number() over (partition by grp order by score desc, item) as r").where("r <= 5")
+    assert topn.read_top_n(spark, path, 5).select("row_key").exceptAll(want.select("row_key")).count() == 0
+    assert topn.read_top_n(spark, path, 5).count() == 1000
+
+
+def test_top_n_of_a_hot_group_in_several_files(spark):
+    for score in ("cast(id as double)", "0.5"):
+        rows = spark.range(60_000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 'hot' else concat('g', id) end as grp", "concat('c', id) as item", "id as row_key", f"{score} as score")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        path, files = _clustered(spark, rows, most=2000, row_group_bytes=1 << 14)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        holding = [f for f in files if "hot" in f.read(columns=["grp"]).column(0).to_pylist()]
+        assert len(holding) > 1
+        top = [r for r in topn.read_top_n(spark, path, 3).collect() if r["grp"] in ("hot", None)]
+        want = [59_998, 59_995, 59_992, 59_997, 59_994, 59_991] if score != "0.5" else sorted(range(60_000), key=lambda i: f"c{i}")
+        if score == "0.5":
+            want = [i for i in want if i % 3 == 1][:3] + [i for i in want if i % 3 == 0][:3]
+        assert sorted(r["row_key"] for r in top) == sorted(want)
 
 
 def test_formatting_copies(spark):
