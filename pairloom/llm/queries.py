@@ -92,24 +92,33 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return groups.assign_splits(_p2_links(spark, d), "row_id", ["repository", "document"], {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
-def _allotted(spark, d):
-    return mixing.allotment(table(spark, d, "training_data_audit"), mixing.usable_records(table(spark, d, "candidates")))
+def _targets(spark, d):
+    return mixing.plan_targets(table(spark, d, "training_data_audit"))
+
+
+def _records(spark, d):
+    return mixing.usable_records(table(spark, d, "candidates"))
+
+
+def _delivered(spark, d):
+    """What the mixed records hold of every source of every plan."""
+    return mixing.delivered(_targets(spark, d), mixing.mix(spark, _targets(spark, d), _records(spark, d)))
 
 
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _allotted(spark, d).where("short").select("phase", "source_id")
+    return _delivered(spark, d).where("short").select("phase", "source_id")
 
 
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    s = mixing.shares(_allotted(spark, d))
+    s = mixing.shares(_delivered(spark, d))
     return s.select("audit_id", "phase", "source_id", "want", "given", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"))
 
 
 @query
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, d, "training_data_audit"), mixing.usable_records(table(spark, d, "candidates")))
+    return mixing.mix(spark, _targets(spark, d), _records(spark, d))
 
 
 CAPACITY = 2048
@@ -188,11 +197,11 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p7_token_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of 512 tokens of the usable records of each source, and the mix over them."""
-    c = table(spark, d, "candidates")
-    sizes = tokens.encode(c.select("row_id", F.concat_ws("\n", "query", "positive").alias("text")), "row_id", "text", with_ids=False)
-    blocks = materialize(mixing.token_blocks(mixing.usable_records(c), sizes, 512), "blocks")
-    made = mixing.mix(spark, table(spark, d, "training_data_audit"), blocks.select("source_id", "row_id"))
+    """Blocks of 512 tokens of the usable records of each source, and the mix over them; plans in blocks."""
+    c, records = table(spark, d, "candidates"), _records(spark, d)
+    sizes = materialize(tokens.encode(c.select("row_id", F.concat_ws("\n", "query", "positive").alias("text")), "row_id", "text", with_ids=False), "sizes")
+    blocks = materialize(mixing.token_blocks(records, sizes, 512), "blocks")
+    made = mixing.mix(spark, mixing.targets_in_blocks(_targets(spark, d), records, sizes, 512), blocks.select("source_id", "row_id"))
     return made.withColumnRenamed("row_id", "block")
 
 

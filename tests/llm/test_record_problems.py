@@ -216,25 +216,43 @@ PLAN = "audit_id string, phase string, created_at timestamp, rows bigint, source
 def test_mixing(spark):
     plans = spark.createDataFrame([("p1", "x", None, 60, (40, 20, None, None), 3), ("p2", "y", None, 50, (10, None, 35, 5), 2), ("p3", "z", None, 0, (None, None, None, None), 1)], PLAN)
     records = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 1000 + i) for i in range(7)] + [("c", 2000 + i) for i in range(10)], "source_id string, row_id bigint")
-    a = {(r["audit_id"], r["source_id"]): r for r in mixing.allotment(plans, records).collect()}
+    a = {(r["audit_id"], r["source_id"]): r for r in mixing.allotment(mixing.plan_targets(plans), records).collect()}
     assert not a["p1", "b"]["short"] and a["p2", "c"]["short"] and a["p2", "d"]["short"] and a["p2", "d"]["given"] == 0
-    rows = mixing.mix(spark, plans, records, shard_rows=8).collect()
+    rows = mixing.mix(spark, mixing.plan_targets(plans), records, shard_rows=8).collect()
     used, per = {}, {}
     for r in rows:
         used[r["audit_id"], r["row_id"]] = used.get((r["audit_id"], r["row_id"]), 0) + 1
         per[r["audit_id"], r["source_id"]] = per.get((r["audit_id"], r["source_id"]), 0) + 1
     assert per == {("p1", "a"): 40, ("p1", "b"): 20, ("p2", "a"): 10, ("p2", "c"): 20}
     assert max(n for (k, _), n in used.items() if k == "p1") <= 3 and max(n for (k, _), n in used.items() if k == "p2") <= 2
-    again = mixing.mix(spark, plans, records, shard_rows=8).collect()
+    again = mixing.mix(spark, mixing.plan_targets(plans), records, shard_rows=8).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
-    assert mixing.mix(spark, plans, records.limit(0)).count() == 0 and mixing.mix(spark, plans.limit(0), records).count() == 0
+    targets = mixing.plan_targets(plans)
+    assert mixing.mix(spark, targets, records.limit(0)).count() == 0 and mixing.mix(spark, targets.limit(0), records).count() == 0
+    short = {(r["audit_id"], r["source_id"]) for r in mixing.delivered(targets, mixing.mix(spark, targets, records)).where("short").collect()}
+    assert short == {(k, s) for (k, s), r in a.items() if r["short"]} == {("p2", "c"), ("p2", "d")}
+
+
+def test_shards_are_cut_to_size(spark, monkeypatch):
+    """Shards beyond those the driver draws are cut in tasks; no shard is larger than wanted."""
+    monkeypatch.setattr(mixing, "TOP_SHARDS", 3)
+    plans = spark.createDataFrame([("p1", "x", None, 60, (170, 20, None, None), 3)], PLAN)
+    records = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 1000 + i) for i in range(7)], "source_id string, row_id bigint")
+    rows = mixing.mix(spark, mixing.plan_targets(plans), records, shard_rows=8).collect()
+    size = {}
+    for r in rows:
+        size[r["shard"]] = size.get(r["shard"], 0) + 1
+    assert sum(size.values()) == 190 and max(size.values()) <= 8 and len(size) >= 24
+    assert len({(r["row_id"], r["repeat"]) for r in rows}) == 190
 
 
 def test_token_blocks(spark):
     records = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4)], "source_id string, row_id bigint")
     sizes = spark.createDataFrame([(1, 7), (2, 0), (3, 6), (4, 3)], "row_id bigint, n_tokens bigint")
-    got = {r["row_id"]: [tuple(p) for p in r["pieces"]] for r in mixing.token_blocks(records, sizes, 5).collect()}
-    assert got == {0: [(1, 0, 5)], 1: [(1, 5, 2), (3, 0, 3)]}
+    got = {(r["source_id"], r["row_id"]): [tuple(p) for p in r["pieces"]] for r in mixing.token_blocks(records, sizes, 5).collect()}
+    assert got == {("a", 0): [(1, 0, 5)], ("a", 1): [(1, 5, 2), (3, 0, 3)], ("a", 2): [(3, 3, 3)], ("b", 0): [(4, 0, 3)]}
+    targets = spark.createDataFrame([("p", "x", 1, "a", 30), ("p", "x", 1, "b", 3), ("p", "x", 1, "none", 3)], "audit_id string, phase string, max_repeats int, source_id string, want bigint")
+    assert {r["source_id"]: r["want"] for r in mixing.targets_in_blocks(targets, records, sizes, 5).collect()} == {"a": 26, "b": 2, "none": 0}
 
 
 def test_usable_records_and_fields(spark):
