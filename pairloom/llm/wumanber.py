@@ -2,8 +2,10 @@
 
 Patterns of one length class are searched together by their first ``m`` characters. A
 shift table over blocks of ``B`` characters says how far a window may jump; windows
-ending in a block of shift 0 are looked up by the hash of their ``m`` characters. Many
-windows ("lanes") advance side by side, so each step is one array operation.
+ending in a block of shift 0 are looked up in buckets by the hash of their ``m`` characters.
+A bucket is one bit: whether it holds a pattern at all; which one it is, is found by direct
+comparison later. So a table has a fixed size for any number of patterns. Many windows
+("lanes") advance side by side, so each step is one array operation.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ SLOT_BITS = {1: 16, 2: 20, 3: 20, 4: 21}
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LANES = 8192
-BUCKET_BITS = 22
+#: Least and most bits of a bucket number; two buckets are looked up for each window.
+BUCKET_BITS = 16, 29
+#: Slots that say how far the longest pattern of a window reaches.
+REACH_BITS = 18
 
 
 def length_class(n: int) -> tuple[int, int]:
@@ -98,20 +103,29 @@ def pattern_rows(windows: list[str], m: int, b: int):
     return hashes.view("int64"), flat[first].astype("int64"), s[first].astype("int64")
 
 
-def table_bytes(m: int, b: int, slots: np.ndarray, shifts: np.ndarray, hashes: np.ndarray, spans: np.ndarray) -> bytes:
-    """One pattern block as a flat file: shift table, bucket bitmap, sorted window hashes, longest pattern per window."""
+def bucket_bits(patterns: int) -> int:
+    """Bits of a bucket number for so many patterns: 32 buckets each, within the bounds."""
+    return min(max(int(32 * patterns).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
+
+
+def buckets_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two buckets of each window hash."""
+    u = hashes.view("uint64")
+    with np.errstate(over="ignore"):
+        return (u >> np.uint64(64 - bits)).astype("int64"), ((u * _R) >> np.uint64(64 - bits)).astype("int64")
+
+
+def reach_slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view("uint64") & np.uint64((1 << REACH_BITS) - 1)).astype("int64")
+
+
+def table_bytes(m: int, b: int, slots: np.ndarray, shifts: np.ndarray, reach: tuple[np.ndarray, np.ndarray], bits: int, buckets: bytes) -> bytes:
+    """The table of one length class as a flat file: shift table, reach, one bit a bucket."""
     shift = np.full(1 << SLOT_BITS[b], m - b + 1, dtype="uint8")
     shift[slots] = shifts
-    u = hashes.view("uint64")
-    order = np.argsort(u, kind="stable")
-    u, spans = u[order], spans[order]
-    first = np.r_[True, u[1:] != u[:-1]] if len(u) else np.array([], bool)
-    longest = np.maximum.reduceat(spans, np.flatnonzero(first)) if len(u) else spans
-    u = u[first]
-    bucket = np.zeros(1 << BUCKET_BITS, dtype="bool")
-    bucket[u >> np.uint64(64 - BUCKET_BITS)] = True
-    head = np.array([m, b, len(shift), len(u)], dtype="<i8").tobytes()
-    return head + shift.tobytes() + bucket.tobytes() + u.astype("<u8").tobytes() + longest.astype("<i4").tobytes()
+    far = np.full(1 << REACH_BITS, m, dtype="<i4")
+    far[reach[0]] = reach[1]
+    return np.array([m, b, len(shift), bits], dtype="<i8").tobytes() + shift.tobytes() + far.tobytes() + buckets
 
 
 class Table:
@@ -119,20 +133,15 @@ class Table:
 
     def __init__(self, path: str) -> None:
         head = np.memmap(path, dtype="<i8", mode="r", shape=(4,))
-        self.m, self.b, ns, nh = (int(x) for x in head)
-        at = 32
-        self.shift = np.memmap(path, dtype="uint8", mode="r", offset=at, shape=(ns,))
-        at += ns
-        self.bucket = np.memmap(path, dtype="bool", mode="r", offset=at, shape=(1 << BUCKET_BITS,))
-        at += 1 << BUCKET_BITS
-        self.hashes = np.memmap(path, dtype="<u8", mode="r", offset=at, shape=(nh,))
-        self.longest = np.memmap(path, dtype="<i4", mode="r", offset=at + 8 * nh, shape=(nh,))
-        self.shift, self.bucket = np.asarray(self.shift), np.asarray(self.bucket)
+        self.m, self.b, ns, self.bits = (int(x) for x in head)
+        self.shift = np.asarray(np.memmap(path, dtype="uint8", mode="r", offset=32, shape=(ns,)))
+        self.reach = np.asarray(np.memmap(path, dtype="<i4", mode="r", offset=32 + ns, shape=(1 << REACH_BITS,)))
+        self.buckets = np.asarray(np.memmap(path, dtype="uint8", mode="r", offset=32 + ns + (4 << REACH_BITS), shape=(1 << self.bits - 3,)))
 
     def search(self, codes: np.ndarray, slots: np.ndarray, sums: np.ndarray):
-        """Starts of all windows that equal a pattern's first ``m`` characters, and how far the longest pattern reaches."""
+        """Starts of all windows whose buckets hold a pattern, and how far the longest one may reach."""
         n, m = len(codes), self.m
-        if n < m or not len(self.hashes):
+        if n < m:
             return np.array([], "int64"), np.array([], "int64")
         width = max(4 * m, -(-n // LANES))
         end = np.arange(m - 1, n, width)  # window ends; lane i covers ends in [i*width+m-1, (i+1)*width+m-1)
@@ -144,12 +153,11 @@ class Table:
             if zero.any():
                 start = end[zero] - (m - 1)
                 h = window_hashes(sums, start, m)
-                maybe = self.bucket[h >> np.uint64(64 - BUCKET_BITS)]
-                if maybe.any():
-                    start, h = start[maybe], h[maybe]
-                    i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                    hit = self.hashes[i] == h
-                    found.append((start[hit], self.longest[i[hit]]))
+                one, two = buckets_of(h, self.bits)
+                held = (self.buckets[one >> 3] >> (one & 7).astype("uint8") & 1) & (self.buckets[two >> 3] >> (two & 7).astype("uint8") & 1)
+                if held.any():
+                    hit = held > 0
+                    found.append((start[hit], self.reach[reach_slot(h[hit])]))
             end = end + np.maximum(jump, 1)
             live = end < stop
             if not live.all():
