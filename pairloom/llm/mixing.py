@@ -152,11 +152,14 @@ def mix(spark: SparkSession, targets: DataFrame, records: DataFrame, shard_rows:
             drawn.append((audit, phase, shard, parts, seed, names, list(start), [int(x) for x in draw], have, seeds))
             start = [x + int(y) for x, y in zip(start, draw)]
     tops = spark.createDataFrame(drawn, "audit_id string, phase string, shard bigint, parts bigint, seed0 bigint, source_id array<string>, k0 array<bigint>, n array<bigint>, have array<bigint>, seeds array<bigint>")
-    cells = tops.repartition("audit_id", "shard").mapInPandas(_cut_shards, _CELL)
+    # a few rows make many: tasks are counted by what comes out, and the planner is not left to
+    # judge by what went in whether to broadcast it
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["given"] for r in sum(by_plan.values(), [])) // 1_000_000)
+    cells = tops.repartition(min(tasks, max(1, len(drawn))), "audit_id", "shard").mapInPandas(_cut_shards, _CELL)
     slots = cells.select("audit_id", "phase", "source_id", "shard", "have", "seed", F.explode(F.sequence("k0", F.col("k0") + F.col("n") - 1)).alias("k"))
     mapped = slots.mapInPandas(_permute, "audit_id string, phase string, source_id string, shard bigint, k bigint, repeat int, nth bigint")
     indexed = number_within(records, ["source_id"], ["row_id"], "nth")
-    return mapped.join(indexed, ["source_id", "nth"]).select(
+    return mapped.join(indexed.hint("merge"), ["source_id", "nth"]).select(
         "audit_id", "phase", "shard", F.xxhash64("audit_id", "source_id", "k").alias("at"), "source_id", "row_id", "repeat"
     )
 
