@@ -86,3 +86,58 @@ def listwise_kl(scores: DataFrame, group: str, teacher: str, student: str, tempe
     z = j.groupBy(group).agg((F.log(F.sum(F.exp(t - F.col("__mt")))) + F.max("__mt")).alias("__zt"), (F.log(F.sum(F.exp(s - F.col("__ms")))) + F.max("__ms")).alias("__zs"))
     lp, lq = t - F.col("__zt"), s - F.col("__zs")
     return scores.join(z, group).groupBy(group).agg(F.sum(F.exp(lp) * (lp - lq)).alias("kl"))
+
+
+def in_batch(df: DataFrame, batch: str, key: str, query: str, document: str, temperature: float) -> DataFrame:
+    """``(batch, key, loss)``: cross-entropy of a row's own document against all documents of its batch.
+
+    A batch has a fixed number of rows, so the join inside it is bounded.
+    """
+    from pairloom.operators.vectors import dot
+
+    docs = df.select(F.col(batch), F.col(key).alias("__other"), F.col(document).alias("__doc"))
+    logits = df.select(batch, key, F.col(query).alias("__query")).join(docs, batch)
+    logits = logits.select(batch, key, "__other", (dot(F.col("__query"), F.col("__doc")) / temperature).alias("__s"))
+    return infonce(logits.withColumn("__group", F.struct(batch, key)), "__group", "__s", F.col("__other") == F.col(key), 1.0).select(f"__group.{batch}", f"__group.{key}", "loss")
+
+
+def teacher_logit(score: Column, temperature: float = 1.0, epsilon: float = 1e-6) -> Column:
+    """Log odds of a teacher's probability, kept away from 0 and 1."""
+    p = F.least(F.greatest(score, F.lit(epsilon)), F.lit(1 - epsilon))
+    return F.log(p / (1 - p)) / temperature
+
+
+def teacher_groups(df: DataFrame, group: str, score: str, is_positive: Column) -> DataFrame:
+    """``(group, documents, problem)``: whether a teacher's scores can be learned from.
+
+    A group needs one positive and a negative, all scores finite and in 0..1, and the positive
+    above every negative; ``problem`` names the first rule it breaks, null if none.
+    """
+    s, bad = F.col(score), F.col(score).isNull() | F.isnan(F.col(score)) | (F.abs(F.col(score)) == float("inf"))
+    g = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(is_positive).alias("__p"), F.count_if(bad).alias("__bad"), F.count_if((s < 0) | (s > 1)).alias("__out"),
+        F.max(F.when(is_positive, s)).alias("__top"), F.max(F.when(~is_positive, s)).alias("__next"),
+    )
+    problem = (
+        F.when(F.col("__p") != 1, "positives").when(F.col("documents") < 2, "no_negative").when(F.col("__bad") > 0, "not_finite")
+        .when(F.col("__out") > 0, "range").when(F.col("__top") <= F.col("__next"), "positive_not_dominant")
+    )
+    return g.select(group, "documents", problem.alias("problem"))
+
+
+def margin_mse(scores: DataFrame, group: str, teacher: str, student: str, is_positive: Column) -> DataFrame:
+    """``(group, loss)``: mean squared difference of the student's and the teacher's margins between
+    the positive (the best by the teacher) and each negative."""
+    t, s = F.col(teacher), F.col(student)
+    top = scores.where(is_positive).groupBy(group).agg(F.max(F.struct(t.alias("t"), s.alias("s"))).alias("__p"))
+    gap = (F.col("__p.s") - s) - (F.col("__p.t") - t)
+    return scores.where(~is_positive).join(top, group).groupBy(group).agg(F.avg(gap * gap).alias("loss"))
+
+
+def masked_infonce(scores: DataFrame, group: str, score: str, is_positive: Column, is_queued: Column, margin: float, temperature: float) -> DataFrame:
+    """``(group, loss, masked)``: ``infonce`` in which queued negatives within ``margin`` of the best positive, or
+    above it, may be false negatives and do not count."""
+    top = scores.where(is_positive).groupBy(group).agg(F.max(score).alias("__p"))
+    j = scores.join(top, group).withColumn("__masked", is_queued & ~is_positive & (F.col(score) >= F.col("__p") - margin))
+    masked = j.groupBy(group).agg(F.count_if("__masked").alias("masked"))
+    return infonce(j.where("not __masked"), group, score, is_positive, temperature).join(masked, group)

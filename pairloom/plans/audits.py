@@ -33,14 +33,14 @@ def duplicate_generated_per_source(spark, d):
     return g.join(first, "row_id", "left_anti").select("row_id", "source_candidate_id")
 
 
-@query(_SCORED_SQL + """, dense AS (SELECT query_id, doc_id, score FROM ranked WHERE rank <= 10), own AS (SELECT query_id, doc_id, score FROM scored WHERE label = ql AND doc_id % 7 = 0),
+@query(_SCORED_SQL + """, dense AS (SELECT query_id, doc_id, score FROM ranked WHERE rank <= 10), own AS (SELECT query_id, doc_id, score FROM scored WHERE doc_id BETWEEN query_id + 1 AND query_id + 7),
 u AS (SELECT *, 1 AS d, 0 AS s FROM dense UNION ALL SELECT *, 0, 1 FROM own)
 SELECT query_id, doc_id, round(max(score), 6) AS score, CASE WHEN max(d) = 1 AND max(s) = 1 THEN 'dense+source' WHEN max(d) = 1 THEN 'dense' ELSE 'source' END AS origin FROM u GROUP BY 1, 2""")
 def source_negatives_compete(spark, d):
+    """A row brings the seven vectors after it as negatives of its source."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "label")
-    brought = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"), "label")
-    own = q.join(brought, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.round(vc.dot(F.col("qv"), F.col("dv")), 12).alias("score"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 7)).alias("doc_id"))
+    own = q.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv")), "doc_id").select("query_id", "doc_id", F.round(vc.dot(F.col("qv"), F.col("dv")), 12).alias("score"))
     made = vc.with_source_candidates(_search(spark, d, 10), own, "query_id", "doc_id", "score")
     return made.withColumn("score", F.round("score", 6))
 
@@ -83,11 +83,23 @@ def articles_of_documents(spark, d):
     return markup.articles(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "article", "title", F.length("body").alias("chars"))
 
 
-@query(f"""SELECT {_DOT.format('a.embedding', 'b.embedding')} > {_DOT.format('a.embedding', 'c.embedding')} AS in_order FROM embeddings a, embeddings b, embeddings c WHERE a.vec_id = 0
-AND b.vec_id = (SELECT vec_id FROM embeddings x WHERE x.label = a.label AND x.vec_id <> 0 ORDER BY {_DOT.format('a.embedding', 'x.embedding')} DESC LIMIT 1) AND c.vec_id = (SELECT min(vec_id) FROM embeddings y WHERE y.label <> a.label)""")
+@query(f"""WITH l AS (SELECT label, min(vec_id) AS first, list_sort(list(vec_id))[2] AS second FROM embeddings WHERE label IS NOT NULL GROUP BY 1),
+t AS (SELECT e.vec_id AS query_id, CASE WHEN l.first = e.vec_id THEN l.second ELSE l.first END AS positive_id, (SELECT min(o.first) FROM l o WHERE o.label <> e.label) AS negative_id FROM embeddings e JOIN l USING (label))
+SELECT query_id, positive_id, negative_id, len(q.embedding) = len(p.embedding) AND len(q.embedding) = len(n.embedding) AS same_dimension, {_DOT.format('q.embedding', 'p.embedding')} > {_DOT.format('q.embedding', 'n.embedding')} AS in_order
+FROM t JOIN embeddings q ON q.vec_id = query_id JOIN embeddings p ON p.vec_id = positive_id JOIN embeddings n ON n.vec_id = negative_id""")
 def relevance_order(spark, d):
-    """The best same-label vector of vector 0 scores above the first vector of another label."""
-    e = table(spark, d, "embeddings")
-    own = e.where("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    s = e.where("vec_id <> 0").join(F.broadcast(own)).select("vec_id", (F.col("label") == F.col("ql")).alias("same"), vc.dot(F.col("q"), F.col("embedding")).alias("s"))
-    return s.agg((F.max(F.when(F.col("same"), F.col("s"))) > F.min_by(F.when(~F.col("same"), F.col("s")), F.when(~F.col("same"), F.col("vec_id")))).alias("in_order"))
+    """Every vector with the first other one of its label and the first of another label: dimensions agree, the former scores higher."""
+    e = table(spark, d, "embeddings").where("label is not null")
+    first = e.groupBy("label").agg(F.min("vec_id").alias("first"))
+    second = e.join(first, "label").where("vec_id <> first").groupBy("label").agg(F.min("vec_id").alias("second"))
+    edge = first.agg(F.min("first").alias("a"), F.expr("min_by(label, first)").alias("la"))  # the first label's first vector, and the next label's
+    after = first.join(F.broadcast(edge)).where("label <> la").agg(F.min("first").alias("b"))
+    t = e.join(first, "label").join(second, "label", "left").join(F.broadcast(edge)).join(F.broadcast(after))
+    t = t.select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("first") == F.col("vec_id"), F.col("second")).otherwise(F.col("first")).alias("positive_id"),
+        F.when(F.col("label") == F.col("la"), F.col("b")).otherwise(F.col("a")).alias("negative_id"),
+    )
+    vec = lambda name, out: e.select(F.col("vec_id").alias(name), F.col("embedding").alias(out))
+    j = t.join(vec("positive_id", "p"), "positive_id").join(vec("negative_id", "n"), "negative_id")
+    same = (F.size("q") == F.size("p")) & (F.size("q") == F.size("n"))
+    return j.select("query_id", "positive_id", "negative_id", same.alias("same_dimension"), (vc.dot(F.col("q"), F.col("p")) > vc.dot(F.col("q"), F.col("n"))).alias("in_order"))

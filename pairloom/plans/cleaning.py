@@ -94,11 +94,18 @@ def source_caps_examined(spark, d):
     return cl.examined(_reasons(spark, d), "source_id", [F.col("row_id")], F.col("reason").isNull(), 60)
 
 
-@query(f"""WITH {PAIRS_SQL}, x AS (SELECT row_id, CASE WHEN query IS NULL OR length(trim(query)) = 0 THEN 'empty_query' END AS a,
-  CASE WHEN positive IS NULL OR length(trim(positive)) = 0 THEN 'empty_positive' END AS b, 'no_negative' AS c FROM pairs)
-SELECT row_id, unnest(list_filter([a, b, c], lambda v: v IS NOT NULL)) AS rule FROM x""")
+@query(f"""WITH {PAIRS_SQL}, f AS (SELECT repository, positive AS head FROM pairs WHERE row_id IN (SELECT min(row_id) FROM pairs WHERE repository IS NOT NULL GROUP BY repository)),
+x AS (SELECT row_id, query, positive, CASE WHEN f.repository IS NULL THEN [] ELSE [f.head, query] END AS neg FROM pairs LEFT JOIN f USING (repository)),
+y AS (SELECT row_id, CASE WHEN query IS NULL OR length(trim(query)) = 0 THEN 'empty_query' END AS a, CASE WHEN positive IS NULL OR length(trim(positive)) = 0 THEN 'empty_positive' END AS b, CASE WHEN len(neg) = 0 THEN 'no_negative' END AS c,
+  CASE WHEN len(list_filter(neg, lambda v: v IS NULL OR length(trim(v)) = 0)) > 0 THEN 'empty_negative' END AS e, CASE WHEN list_contains(neg, positive) THEN 'positive_in_negatives' END AS f FROM x)
+SELECT row_id, unnest(list_filter([a, b, c, e, f], lambda v: v IS NOT NULL)) AS rule FROM y""")
 def strict_row_violations(spark, d):
-    return cl.strict_violations(pairs(spark, d).withColumn("negatives", F.array().cast("array<string>")), "row_id", "query", "positive", "negatives")
+    """Negatives of a row: the first positive of its repository, and its own query."""
+    p = pairs(spark, d)
+    first = p.where("repository is not null").groupBy("repository").agg(F.min("row_id").alias("row_id"))
+    heads = p.select("row_id", F.col("positive").alias("head")).join(first, "row_id").select("repository", "head", F.lit(True).alias("there"))
+    negatives = F.when(F.col("there"), F.array("head", "query")).otherwise(F.array().cast("array<string>"))
+    return cl.strict_violations(p.join(heads, "repository", "left").withColumn("negatives", negatives), "row_id", "query", "positive", "negatives")
 
 
 @query("""WITH x AS (SELECT generated_id, reranker_score AS p, retriever_score AS n, score_row_id FROM cache_qwen3_reranker_scores)
@@ -134,11 +141,13 @@ def misaligned_ids(spark, d):
     return misaligned(ids("grounded_synthetic_query_factory"), ids("cache_qwen3_reranker_scores"), "id")
 
 
-@query(f"""SELECT doc_id, CASE
-  WHEN {" OR ".join(f"regexp_matches(title, '{p}')" for p in cl.SECRET_PATTERNS)} THEN 'secret' WHEN regexp_matches(title, '^(/|~/|[A-Za-z]:\\\\)[^ ]*$') THEN 'path'
-  WHEN regexp_matches(title, '[\\x00-\\x08\\x0E-\\x1F]') THEN 'control' WHEN length(title) > 16 THEN 'long' WHEN title <> trim(title, ' ') THEN 'untrimmed' END AS reason FROM documents""")
+@query(f"""WITH x AS (SELECT doc_id, 'title' AS field, title AS v FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents) SELECT doc_id, field, CASE
+  WHEN {" OR ".join(f"regexp_matches(v, '{p}')" for p in cl.SECRET_PATTERNS)} THEN 'secret' WHEN regexp_matches(v, '^(/|~/|[A-Za-z]:\\\\)[^ ]*$') THEN 'path'
+  WHEN regexp_matches(v, '[\\x00-\\x08\\x0E-\\x1F]') THEN 'control' WHEN length(v) > 512 THEN 'long' WHEN v <> trim(v, ' ') THEN 'untrimmed' END AS reason FROM x""")
 def secret_like_values(spark, d):
-    return table(spark, d, "documents").select("doc_id", cl.secret_like(F.col("title"), 16).alias("reason"))
+    t = table(spark, d, "documents")
+    values = t.select("doc_id", F.lit("title").alias("field"), F.col("title").alias("v")).unionByName(t.select("doc_id", F.lit("text").alias("field"), F.col("text").alias("v")))
+    return values.select("doc_id", "field", cl.secret_like(F.col("v")).alias("reason"))
 
 
 @query(f"""WITH {PAIRS_SQL} SELECT source_id, count(*) AS rows, count(*) FILTER (WHERE length(query) < 10) AS short_queries, count(*) FILTER (WHERE length(positive) < 50) AS short_positives FROM pairs GROUP BY 1""")

@@ -140,11 +140,14 @@ def membership_drift(spark, d):
     return a.subtract(b).withColumn("side", F.lit("only_generated")).unionByName(b.subtract(a).withColumn("side", F.lit("only_candidates")))
 
 
-@query("SELECT lower(trim(split)) AS role, source_id, count(*) AS n FROM (SELECT 'train' AS split, source_id FROM candidates WHERE row_id % 2 = 0 UNION ALL SELECT 'test', source_id FROM candidates WHERE row_id % 5 = 0) GROUP BY 1, 2")
+@query(f"""WITH {PAIRS_SQL} SELECT split AS role, source_id, count(*) AS n FROM pairs WHERE split IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT 'generated', c.source_id, count(*) FROM grounded_synthetic_query_factory g JOIN (SELECT c.id, min(p.source_id) AS source_id FROM candidates c JOIN pairs p USING (row_id) GROUP BY 1) c ON c.id = g.source_candidate_id GROUP BY 1, 2""")
 def union_by_role(spark, d):
-    c = table(spark, d, "candidates")
-    u = c.where("row_id % 2 = 0").select(F.lit("train").alias("role"), "source_id").unionByName(c.where("row_id % 5 = 0").select(F.lit("test").alias("role"), "source_id"))
-    return u.groupBy("role", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of the splits and generated rows, united under their roles."""
+    p = pairs(spark, d).where("split is not null").select(F.col("split").alias("role"), "source_id")
+    ids = table(spark, d, "candidates").select("row_id", "id").join(pairs(spark, d).select("row_id", "source_id"), "row_id").groupBy("id").agg(F.min("source_id").alias("source_id"))
+    g = table(spark, d, "grounded_synthetic_query_factory").join(ids, F.col("source_candidate_id") == F.col("id")).select(F.lit("generated").alias("role"), "source_id")
+    return p.unionByName(g).groupBy("role", "source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT source AS domain, sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")

@@ -148,14 +148,61 @@ def infonce_loss(spark, d):
     return ng.infonce(s, "generated_id", "retriever_score", F.col("role") == "positive", 0.05).select("generated_id", F.round("loss", 6).alias("loss"))
 
 
-@query(f"""WITH s AS ({_LOSS}), m AS (SELECT generated_id, max(retriever_score / 0.05) AS m FROM s GROUP BY 1),
-e AS (SELECT s.generated_id, role, candidate_id, exp(retriever_score / 0.05 - m) AS e FROM s JOIN m USING (generated_id)),
-h AS (SELECT generated_id, ln(sum(e)) - ln(sum(e) FILTER (WHERE role = 'positive')) AS hard FROM e GROUP BY 1 HAVING sum(e) FILTER (WHERE role = 'positive') > 0)
-SELECT count(*) AS groups, round(avg(hard), 6) AS hard_loss, round(sum(hard) / count(*) * 0.5, 6) AS half_weighted FROM h""")
+# Pair i: vector 2i asks, vector 2i + 1 answers; the answers of the next three pairs are its hard negatives.
+_DUAL = f"""WITH p AS (SELECT q.vec_id // 2 AS pair, q.vec_id // 32 AS batch, q.embedding AS qv, d.embedding AS dv FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 1 WHERE q.vec_id % 2 = 0),
+b AS (SELECT x.pair, y.pair AS other, {_DOT.format('x.qv', 'y.dv')} / 0.05 AS s FROM p x JOIN p y USING (batch)), bm AS (SELECT pair, max(s) AS m FROM b GROUP BY 1),
+i AS (SELECT b.pair, ln(sum(exp(s - m))) + max(m) - max(s) FILTER (WHERE other = b.pair) AS loss FROM b JOIN bm USING (pair) GROUP BY 1),
+h AS (SELECT x.pair, y.pair AS other, {_DOT.format('x.qv', 'y.dv')} / 0.05 AS s FROM p x JOIN p y ON y.pair BETWEEN x.pair AND x.pair + 3), hm AS (SELECT pair, max(s) AS m FROM h GROUP BY 1),
+l AS (SELECT h.pair, ln(sum(exp(s - m))) + max(m) - max(s) FILTER (WHERE other = h.pair) AS loss FROM h JOIN hm USING (pair) GROUP BY 1)"""
+
+
+def _loss_pairs(spark, d):
+    e = _emb(spark, d)
+    q = e.where("vec_id % 2 = 0").select(F.expr("vec_id div 2").alias("pair"), F.expr("vec_id div 32").alias("batch"), F.col("embedding").alias("qv"))
+    return q.join(e.where("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("pair"), F.col("embedding").alias("dv")), "pair")
+
+
+@query(_DUAL + " SELECT pair, round(i.loss, 6) AS in_batch_loss, round(l.loss, 6) AS hard_loss, round(i.loss + l.loss, 6) AS loss FROM i JOIN l USING (pair)")
 def dual_loss(spark, d):
-    s = table(spark, d, _CACHE).where(tx.is_finite(F.col("reranker_score")) & tx.is_finite(F.col("retriever_score")))
-    h = ng.infonce(s, "generated_id", "retriever_score", F.col("role") == "positive", 0.05)
-    return h.agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg("loss"), 6).alias("hard_loss"), F.round(F.avg("loss") * 0.5, 6).alias("half_weighted"))
+    """In-batch and explicit-hard-negative cross-entropy of every pair, and their sum."""
+    p = _loss_pairs(spark, d)
+    inside = ng.in_batch(p, "batch", "pair", "qv", "dv", 0.05).select("pair", F.col("loss").alias("in_batch"))
+    wanted = p.select("pair", "qv", F.explode(F.sequence(F.col("pair"), F.col("pair") + 3)).alias("other"))
+    scored = wanted.join(p.select(F.col("pair").alias("other"), "dv"), "other").select("pair", "other", vc.dot(F.col("qv"), F.col("dv")).alias("s"))
+    hard = ng.infonce(scored, "pair", "s", F.col("other") == F.col("pair"), 0.05)
+    return inside.join(hard, "pair").select("pair", F.round("in_batch", 6).alias("in_batch_loss"), F.round("loss", 6).alias("hard_loss"), F.round(F.col("in_batch") + F.col("loss"), 6).alias("loss"))
+
+
+_LOGIT = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))"
+
+
+def _finite_scores(spark, d):
+    return table(spark, d, _CACHE).where(tx.is_finite(F.col("reranker_score")) & tx.is_finite(F.col("retriever_score")))
+
+
+@query(f"""WITH s AS (SELECT generated_id, role, {_LOGIT.format('reranker_score')} AS t, retriever_score AS s FROM ({_LOSS})),
+p AS (SELECT generated_id, max(t) AS pt FROM s WHERE role = 'positive' GROUP BY 1), q AS (SELECT generated_id, any_value(pt) AS pt, max(s) AS ps FROM s JOIN p USING (generated_id) WHERE role = 'positive' AND t = pt GROUP BY 1)
+SELECT generated_id, round(avg(((ps - s) - (pt - t)) * ((ps - s) - (pt - t))), 6) AS loss FROM s JOIN q USING (generated_id) WHERE role <> 'positive' GROUP BY 1""")
+def margin_mse_loss(spark, d):
+    s = _finite_scores(spark, d).select("generated_id", "role", ng.teacher_logit(F.col("reranker_score")).alias("t"), F.col("retriever_score").alias("s"))
+    return ng.margin_mse(s, "generated_id", "t", "s", F.col("role") == "positive").select("generated_id", F.round("loss", 6).alias("loss"))
+
+
+@query(f"""WITH s AS ({_LOSS}), p AS (SELECT generated_id, max(retriever_score) AS p FROM s WHERE role = 'positive' GROUP BY 1),
+j AS (SELECT s.*, p, role <> 'positive' AND retriever_score >= p - 0.1 AS masked FROM s JOIN p USING (generated_id)),
+m AS (SELECT generated_id, max(retriever_score / 0.05) AS m FROM j WHERE NOT masked GROUP BY 1), k AS (SELECT generated_id, count(*) FILTER (WHERE masked) AS masked FROM j GROUP BY 1)
+SELECT generated_id, round(ln(sum(exp(retriever_score / 0.05 - m))) - ln(sum(exp(retriever_score / 0.05 - m)) FILTER (WHERE role = 'positive')), 6) AS loss, any_value(k.masked) AS masked
+FROM j JOIN m USING (generated_id) JOIN k USING (generated_id) WHERE NOT j.masked GROUP BY 1""")
+def masked_queue_loss(spark, d):
+    s, pos = _finite_scores(spark, d), F.col("role") == "positive"
+    return ng.masked_infonce(s, "generated_id", "retriever_score", pos, ~pos, 0.1, 0.05).select("generated_id", F.round("loss", 6).alias("loss"), "masked")
+
+
+@query(f"""WITH g AS (SELECT generated_id, count(*) AS documents, count(*) FILTER (WHERE role = 'positive') AS p, count(*) FILTER (WHERE reranker_score IS NULL OR isnan(reranker_score) OR isinf(reranker_score)) AS bad,
+  count(*) FILTER (WHERE (reranker_score < 0 OR reranker_score > 1)) AS far, max(reranker_score) FILTER (WHERE role = 'positive') AS top, max(reranker_score) FILTER (WHERE role <> 'positive') AS nxt FROM {_CACHE} GROUP BY 1)
+SELECT generated_id, documents, CASE WHEN p <> 1 THEN 'positives' WHEN documents < 2 THEN 'no_negative' WHEN bad > 0 THEN 'not_finite' WHEN far > 0 THEN 'range' WHEN top <= nxt THEN 'positive_not_dominant' END AS problem FROM g""")
+def teacher_group_problems(spark, d):
+    return ng.teacher_groups(table(spark, d, _CACHE), "generated_id", "reranker_score", F.col("role") == "positive")
 
 
 @query(f"""WITH s AS ({_LOSS}), m AS (SELECT generated_id, max(reranker_score) AS mt, max(retriever_score) AS ms FROM s GROUP BY 1),
@@ -166,10 +213,17 @@ def listwise_kl(spark, d):
     return ng.listwise_kl(s, "generated_id", "reranker_score", "retriever_score", 1.0).select("generated_id", F.round("kl", 6).alias("kl"))
 
 
-@query("""WITH g AS (SELECT row_id, substr(positive, 1, 20) AS query, substr(positive, 11, 10) AS answer, substr(positive, 6, 40) AS evidence, positive FROM grounded_synthetic_query_factory)
-SELECT row_id, CASE WHEN query IS NULL OR answer IS NULL OR evidence IS NULL OR positive IS NULL THEN 'missing' WHEN NOT length(query) BETWEEN 2 AND 400 THEN 'query_length'
-  WHEN NOT regexp_matches(query, '[가-힣A-Za-z]') THEN 'script' WHEN NOT contains(evidence, answer) THEN 'answer_not_in_evidence' WHEN NOT contains(positive, evidence) THEN 'evidence_not_in_passage' WHEN 0.5 > 0.8 THEN 'copied' END AS reason FROM g""")
+# The heading asks, the words in its brackets answer, the normalized passage is the evidence.
+_HEAD = "json_extract_string(provenance_json, '$.section_heading')"
+_BARE_Q, _BARE_T = (f"regexp_replace({c}, '[{tx.SPACE_CLASS}]+', '', 'g')" for c in ("query", "passage"))
+
+
+@query(f"""WITH g AS (SELECT row_id, {_HEAD} AS query, regexp_extract({_HEAD}, '\\(([^)]*)\\)', 1) AS answer, positive_normalized AS evidence, positive AS passage FROM grounded_synthetic_query_factory),
+x AS (SELECT *, {_BARE_Q} AS bq, {_BARE_T} AS bt FROM g), y AS (SELECT *, length(bq) > 0 AND len(list_filter(range(1, length(bq) - length(bq) * 3 // 10 + 1), lambda i: contains(bt, substr(bq, i, length(bq) * 3 // 10 + 1)))) > 0 AS copied FROM x)
+SELECT row_id, CASE WHEN query IS NULL OR answer IS NULL OR evidence IS NULL OR passage IS NULL THEN 'missing' WHEN NOT length(query) BETWEEN 2 AND 400 THEN 'query_length'
+  WHEN NOT regexp_matches(query, '[가-힣A-Za-z]') THEN 'script' WHEN NOT contains(evidence, answer) THEN 'answer_not_in_evidence' WHEN NOT contains(passage, evidence) THEN 'evidence_not_in_passage' WHEN copied THEN 'copied' END AS reason FROM y""")
 def grounded_spans(spark, d):
     g = table(spark, d, "grounded_synthetic_query_factory")
-    cut = lambda a, n: F.substring("positive", a, n)
-    return g.select("row_id", ng.generation_reason(cut(1, 20), cut(11, 10), cut(6, 40), F.col("positive"), F.lit(0.5)).alias("reason"))
+    head = F.try_variant_get(F.try_parse_json("provenance_json"), "$.section_heading", "string")
+    g = g.select("row_id", head.alias("query"), F.regexp_extract(head, r"\(([^)]*)\)", 1).alias("answer"), F.col("positive_normalized").alias("evidence"), F.col("positive").alias("passage"))
+    return g.select("row_id", ng.generation_reason(F.col("query"), F.col("answer"), F.col("evidence"), F.col("passage"), tx.copied_share("query", "passage"), 0.3).alias("reason"))
