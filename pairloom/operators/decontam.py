@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import shingles, squash
+from pairloom.functions.text import squash
+from pairloom.session import materialize
 
 CRITICAL = ["query_text", "evaluation_text"]
 
@@ -92,18 +93,113 @@ def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(grams).alias("gram")).select(key, F.xxhash64("gram").alias("gram")).distinct()
 
 
-def minhash(df: DataFrame, key: str, text: str, perms: int = 32, width: int = 5, least: int = 20, seed: int = 42) -> DataFrame:
+def _signatures(width: int, perms: int, seed: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        mult, (a, b) = np.array(shingle_multipliers(width), dtype="uint64"), (np.array(x, dtype="uint64") for x in zip(*permutations(perms, seed)))
+        for batch in batches:
+            out, texts = np.empty((batch.num_rows, perms), dtype="int64"), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 256):  # bounds the arrays of one step
+                some = texts[at : at + 256]
+                codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("uint64")
+                size = np.fromiter(map(len, some), "int64", len(some))
+                start = np.cumsum(size) - size
+                h = sum(codes[k : len(codes) - width + 1 + k] * mult[k] for k in range(width)) % np.uint64(PRIME)
+                inside = np.concatenate([np.arange(x, x + n - width + 1) for x, n in zip(start, size)])
+                h, first = h[inside], np.cumsum(size - width + 1) - (size - width + 1)
+                for i in range(perms):
+                    out[at : at + len(some), i] = np.minimum.reduceat((h * a[i] + b[i]) % np.uint64(PRIME), first)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, perms, dtype="int32")), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sig], ["key", "signature"])
+
+    return run
+
+
+def minhash(df: DataFrame, key: str, text: str, perms: int = 128, width: int = 5, least: int = 20, seed: int = 42) -> DataFrame:
     """``(key, signature)``: minima of ``perms`` affine hashes over the character shingles.
 
-    Shingles are exploded and reduced by partial aggregation; texts below ``least``
-    characters have no signature.
+    A shingle's hash is a sum of its code points by fixed multipliers, so a text is one pass
+    over arrays and nothing is shuffled. Texts below ``least`` (at least ``width``) characters
+    have no signature.
     """
     t = squash(F.col(text))
-    long = df.where(F.length(t) >= least).select(key, F.explode(shingles(t, width)).alias("g"))
-    h = F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint")
-    hashed = long.select(key, h.alias("h"))
-    cols = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(perms, seed))]
-    return hashed.groupBy(key).agg(*cols).select(key, F.array(*[f"m{i}" for i in range(perms)]).alias("signature"))
+    rows = df.where(F.length(t) >= max(least, width)).select(F.col(key).alias("key"), t.alias("t"))
+    return rows.mapInArrow(_signatures(width, perms, seed), f"key {dict(df.dtypes)[key]}, signature array<bigint>").withColumnRenamed("key", key)
+
+
+def shingle_multipliers(width: int) -> list[int]:
+    """Odd numbers below 2**38, by the congruence of ``permutations``."""
+    return [(a << 8) + 1 for a, _ in permutations(width, 7)]
+
+
+def signature_classes(signatures: DataFrame, key: str) -> DataFrame:
+    """``(key, signature, copies)`` of the smallest key of each distinct signature."""
+    return signatures.groupBy("signature").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies")).select(key, "signature", "copies")
+
+
+def banded_pairs(classes: DataFrame, key: str, bands: int, rows: int, least: float = 0.8) -> DataFrame:
+    """``(key_a, key_b, estimate)`` of distinct signatures that agree in a whole band of ``rows`` minima and
+    in a share of ``least`` of all; smaller key first. Copies are met once, as their class."""
+    n = bands * rows
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
+    keyed = classes.select(key, F.explode(band).alias("__band"))
+    a, b = keyed.withColumnRenamed(key, f"{key}_a"), keyed.withColumnRenamed(key, f"{key}_b")
+    met = a.join(b, "__band").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+    sig = lambda s: classes.select(F.col(key).alias(f"{key}_{s}"), F.col("signature").alias(f"__{s}"))
+    same = F.size(F.filter(F.zip_with("__a", "__b", lambda x, y: x == y), lambda x: x))
+    both = met.join(sig("a"), f"{key}_a").join(sig("b"), f"{key}_b").withColumn("estimate", same / F.lit(float(n)))
+    return both.where(F.col("estimate") >= least).select(f"{key}_a", f"{key}_b", "estimate")
+
+
+def near_word_sets(df: DataFrame, key: str, text: str, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``(key, class, copies, links)``: each text of ``words`` words or more, the smallest key with the same set
+    of word shingles, how many rows have that set, and how many other sets are similar to it by Jaccard.
+
+    Exact: two sets of similarity ``least`` share a shingle among the rarest ``n - ceil(least * n) + 1``
+    of either, so sets meet by these alone, and only sets of fitting size; both sets are compared then.
+    """
+    shingled = materialize(word_grams(df, key, text, words).groupBy(key).agg(F.sort_array(F.collect_list("gram")).alias("grams")), "grams")
+    sets = materialize(shingled.groupBy("grams").agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("copies")), "sets")
+    counts = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    long = sets.select("class", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(counts.where("n > 1"), "gram")
+    rarest = F.sort_array(F.collect_list(F.struct("n", "gram")))
+    # shingles of one set only cannot meet: they come first in its order and use up its prefix
+    held = long.groupBy("class", "size").agg(rarest.alias("g"))
+    prefix = F.expr(f"size - cast(ceil(size * {least} - 1e-9) as int) + 1 - (size - size(g))")
+    keyed = held.where(prefix > 0).select("class", "size", F.explode(F.transform(F.slice("g", 1, prefix), lambda x: x["gram"])).alias("gram"))
+    a, b = keyed.withColumnsRenamed({"class": "a", "size": "na"}), keyed.withColumnsRenamed({"class": "b", "size": "nb"})
+    met = a.join(b, "gram").where(F.col("a") < F.col("b")).where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b").distinct()
+    grams = lambda s: sets.select(F.col("class").alias(s), F.col("grams").alias(f"g{s}"))
+    shared = F.size(F.array_intersect("ga", "gb"))
+    pairs = met.join(grams("a"), "a").join(grams("b"), "b").where(shared >= (F.size("ga") + F.size("gb") - shared) * least - 1e-9).select("a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    known = sets.join(ends, "class", "left").select("grams", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return shingled.join(known, "grams").select(key, "class", "copies", "links")
+
+
+def contained_texts(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, phrase: str, anchor: int = 3) -> DataFrame:
+    """Distinct ``(key, item)``: the document's words contain the item's words in a row.
+
+    Words are those between white space, in lower case. Items are looked up by their first
+    ``anchor`` words (or all, if fewer), of which one document gives each once; the whole phrase is compared
+    then. Items without words are contained in nothing.
+    """
+    words = lambda c: F.split(squash(F.lower(F.col(c))), " ")
+    asked = items.where(F.length(squash(F.col(phrase))) > 0).select(item, words(phrase).alias("w")).select(item, "w", F.least(F.size("w"), F.lit(anchor)).alias("n"))
+    phrases = materialize(asked.select(item, F.array_join("w", " ").alias("phrase"), F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("anchor")), "phrases")
+    docs = documents.where(F.length(squash(F.col(text))) > 0).select(key, words(text).alias("w"))
+
+    def runs_of(n: int):
+        made = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    runs = F.flatten(F.array(*map(runs_of, range(1, anchor + 1))))
+    held = docs.select(key, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"), F.array_distinct(runs).alias("runs"))
+    anchors = held.select(key, F.explode("runs").alias("anchor")).join(phrases.select("anchor").distinct(), "anchor", "left_semi")
+    met = anchors.join(phrases, "anchor").join(held.select(key, "all"), key)
+    return met.where(F.col("all").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select(key, item).distinct()
 
 
 PRIME = 4294967291

@@ -32,8 +32,11 @@ def _train(spark, d):
 
 
 def _matched(spark, d):
+    from pairloom.session import materialize
+
+    # read twice by the audit: written once
     r = dc.roles(_train(spark, d), "row_id", {"query_full": F.col("full_query"), "query_body": F.col("query"), "positive": F.col("positive")}, ["source_id", "declared"])
-    return dc.matches(r, dc.blocklist(_items(spark, d)))
+    return materialize(dc.matches(r, dc.blocklist(_items(spark, d))), "matched")
 
 
 @query(_ITEMS_SQL + " SELECT kind, task, sha AS sha256 FROM blocked")
@@ -99,14 +102,46 @@ def benchmark_13gram_overlap(spark, d):
     return a.join(b, "gram").groupBy("train_row", "held_row").agg(F.count(F.lit(1)).alias("grams"))
 
 
-_MINS = ", ".join(f"min((h * {a}::BIGINT + {b}::BIGINT) % {dc.PRIME})" for a, b in dc.permutations(32, 42))
+_MINS = ", ".join(f"min((h * {a}::BIGINT + {b}::BIGINT) % {dc.PRIME})" for a, b in dc.permutations(128, 42))
+_SHINGLE = " + ".join(f"unicode(substr(t, i + {k}, 1))::BIGINT * {m}" for k, m in enumerate(dc.shingle_multipliers(5)))
+_SIGNED = f"""WITH x AS (SELECT doc_id, {squash_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, ({_SHINGLE}) % {dc.PRIME} AS h FROM x, range(1, length(t) - 3) r(i) WHERE length(t) >= 20), s AS (SELECT doc_id, [{_MINS}] AS signature FROM h GROUP BY doc_id)"""
 
 
-@query(f"""WITH x AS (SELECT row_id, {squash_sql('positive')} AS t FROM candidates WHERE positive IS NOT NULL),
-g AS (SELECT DISTINCT row_id, substr(t, i, 5) AS g FROM x, range(1, length(t) - 3) r(i) WHERE length(t) >= 20),
-h AS (SELECT row_id, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS h FROM g) SELECT row_id, [{_MINS}] AS signature FROM h GROUP BY row_id""")
+@query(_SIGNED + " SELECT doc_id, signature FROM s")
 def minhash_signatures(spark, d):
-    return dc.minhash(table(spark, d, "candidates"), "row_id", "positive")
+    return dc.minhash(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(_SIGNED + """, c AS (SELECT signature, min(doc_id) AS doc_id FROM s GROUP BY 1), k AS (SELECT doc_id, i, signature[i * 8 + 1:i * 8 + 8] AS band FROM c, range(16) r(i)),
+m AS (SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.i = b.i AND a.band = b.band AND a.doc_id < b.doc_id),
+e AS (SELECT m.*, len(list_filter(list_zip(a.signature, b.signature), lambda z: z[1] = z[2])) / 128.0 AS estimate FROM m JOIN c a ON a.doc_id = doc_id_a JOIN c b ON b.doc_id = doc_id_b)
+SELECT doc_id_a, doc_id_b, estimate FROM e WHERE estimate >= 0.8""")
+def minhash_lsh_pairs(spark, d):
+    """Near pairs of distinct signatures (16 bands of 8); copies of a signature stand behind its smallest id."""
+    from pairloom.session import materialize
+
+    classes = materialize(dc.signature_classes(dc.minhash(table(spark, d, "documents"), "doc_id", "text"), "doc_id"), "signatures")
+    return dc.banded_pairs(classes, "doc_id", 16, 8)
+
+
+@query(f"""WITH x AS (SELECT doc_id, string_split({squash_sql('lower(text)')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM x WHERE len(w) >= 5),
+c AS (SELECT g, min(doc_id) AS class, count(*) AS copies FROM g GROUP BY 1), l AS (SELECT class, len(g) AS n, unnest(g) AS gram FROM c),
+p AS (SELECT a.class AS a, b.class AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM l a JOIN l b ON a.gram = b.gram AND a.class <> b.class GROUP BY 1, 2),
+k AS (SELECT a AS class, count(*) AS links FROM p WHERE shared >= (na + nb - shared) * 0.8 - 1e-9 GROUP BY 1)
+SELECT g.doc_id, c.class, c.copies, coalesce(k.links, 0) AS links FROM g JOIN c USING (g) LEFT JOIN k USING (class)""")
+def near_dup_jaccard(spark, d):
+    """Documents by their sets of five-word shingles: class of equal sets, copies, and sets of similarity 0.8 or more."""
+    return dc.near_word_sets(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+
+
+@query(f"""WITH {PAIRS_SQL}, i AS (SELECT row_id, {squash_sql('lower(query)')} AS q FROM pairs WHERE split IN ('validation', 'test') AND length(query) > 0),
+x AS (SELECT doc_id, ' ' || {squash_sql('lower(text)')} || ' ' AS t FROM documents WHERE text IS NOT NULL) SELECT DISTINCT doc_id, row_id FROM x JOIN i ON contains(t, ' ' || q || ' ')""")
+def benchmark_containment(spark, d):
+    """Documents whose words hold a held-out query whole."""
+    items = pairs(spark, d).where("split in ('validation', 'test')").select("row_id", "query")
+    return dc.contained_texts(table(spark, d, "documents"), "doc_id", "text", items, "row_id", "query")
 
 
 @query(f"""SELECT row_id, regexp_extract(json_extract_string(provenance_json, '$.section_heading'), '\\(([^)]*)\\)', 1) AS answer,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import hash_number, stable_hash
-from pairloom.operators.numbering import number_in_order, number_within
+from pairloom.operators.numbering import number_in_order
 from pairloom.sources.readers import wide_columns
 
 
@@ -42,7 +42,7 @@ def labelled(df: DataFrame, key: str, text: str, label: str, names: list[str]) -
 def scored_pairs(df: DataFrame, key: str, first: str, second: str, score: str, at_least: float, at_most: float) -> DataFrame:
     """Similarity pairs: rows at or above ``at_least`` are positives; their negative is taken
     from the pool of second texts at or below ``at_most``, by the hash of the query."""
-    pool = number_within(df.where(F.col(score) <= at_most).withColumn("__one", F.lit(1)), ["__one"], [key], "slot").select("slot", F.col(second).alias("negative"))
+    pool = dense_order(df.where(F.col(score) <= at_most).select(F.col(key).alias("__key"), F.col(second).alias("negative")).withColumn("__one", F.lit(1)), "__key").select("slot", "negative")
     size = pool.agg(F.count(F.lit(1)).alias("n"))
     good = df.where(F.col(score) >= at_least).select(key, F.col(first).alias("query"), F.col(second).alias("positive"))
     aimed = good.join(F.broadcast(size)).where("n > 0").withColumn("slot", F.expr("cast(pmod(conv(substr(sha2(query, 256), 1, 15), 16, 10), n) as bigint)"))
