@@ -86,11 +86,15 @@ def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return df.join(dropped.select(key), key, "left_anti")
 
 
+def grams_of(words: Column, n: int) -> Column:
+    """All runs of ``n`` words, each word taken by its place (a slice would copy the whole array)."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
+
+
 def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Distinct ``(key, gram)``: digests of ``n`` words in a row."""
     words = F.split(squash(F.lower(F.col(text))), " ")
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-    return df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(grams).alias("gram")).select(key, F.xxhash64("gram").alias("gram")).distinct()
+    return df.select(key, words.alias("w")).where(F.size("w") >= n).select(key, F.explode(grams_of(F.col("w"), n)).alias("gram")).select(key, F.xxhash64("gram").alias("gram")).distinct()
 
 
 def _signatures(width: int, perms: int, seed: int):
@@ -189,16 +193,15 @@ def contained_texts(documents: DataFrame, key: str, text: str, items: DataFrame,
     words = lambda c: F.split(squash(F.lower(F.col(c))), " ")
     asked = items.where(F.length(squash(F.col(phrase))) > 0).select(item, words(phrase).alias("w")).select(item, "w", F.least(F.size("w"), F.lit(anchor)).alias("n"))
     phrases = materialize(asked.select(item, F.array_join("w", " ").alias("phrase"), F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("anchor")), "phrases")
-    docs = documents.where(F.length(squash(F.col(text))) > 0).select(key, words(text).alias("w"))
+    # written, so that the words of a text are not made again for each of its runs
+    docs = materialize(documents.where(F.length(squash(F.col(text))) > 0).select(key, words(text).alias("w")), "words")
 
     def runs_of(n: int):
-        made = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size("w") >= n, grams_of(F.col("w"), n)).otherwise(F.array().cast("array<string>"))
 
     runs = F.flatten(F.array(*map(runs_of, range(1, anchor + 1))))
-    held = docs.select(key, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"), F.array_distinct(runs).alias("runs"))
-    anchors = held.select(key, F.explode("runs").alias("anchor")).join(phrases.select("anchor").distinct(), "anchor", "left_semi")
-    met = anchors.join(phrases, "anchor").join(held.select(key, "all"), key)
+    anchors = docs.select(key, F.explode(F.array_distinct(runs)).alias("anchor")).join(phrases.select("anchor").distinct(), "anchor", "left_semi")
+    met = anchors.join(phrases, "anchor").join(docs.select(key, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all")), key)
     return met.where(F.col("all").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select(key, item).distinct()
 
 
