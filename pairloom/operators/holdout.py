@@ -133,34 +133,38 @@ def last_rows_split(df: DataFrame, order: str, validation: int) -> DataFrame:
 def joint_quotas(cells: list[tuple[str, int, int]], sources: dict[str, int], strata: dict[int, int]) -> dict[tuple[str, int], int]:
     """Whole numbers per (source, stratum) that meet both margins, each at most the cell's count.
 
-    Augmenting paths on the two-layer network; the cell table is sources x strata.
+    Maximum flow on the two-layer network: shortest augmenting paths, each pushed by its
+    whole capacity, so the number of steps depends on the cells (sources x strata) and not on
+    the quotas.
     """
     room = {(s, t): n for s, t, n in cells}
     flow = dict.fromkeys(room, 0)
     need, open_ = dict(sources), dict(strata)
-
-    def push(s: str, seen: set[int]) -> bool:
-        for t in sorted(open_):
-            if t in seen or flow.get((s, t), 0) >= room.get((s, t), 0):
-                continue
-            seen.add(t)
-            if open_[t] > 0:
-                open_[t] -= 1
-                flow[s, t] += 1
-                return True
-            for other in sorted(sources):  # move one unit of another source out of this stratum
-                if other != s and flow.get((other, t), 0) > 0:
-                    flow[other, t] -= 1
-                    if push(other, seen):
-                        flow[s, t] += 1
-                        return True
-                    flow[other, t] += 1
-        return False
-
-    for s in sorted(need):
-        for _ in range(need[s]):
-            if not push(s, set()):
-                raise ValueError(f"the quotas of {s!r} and the strata cannot both be met")
+    while any(need.values()):
+        # breadth first over sources and strata; ``came`` holds where a node was reached from
+        came: dict = {("s", s): None for s in sorted(need) if need[s] > 0}
+        queue, end = list(came), None
+        for kind, x in queue:
+            if kind == "t" and open_.get(x, 0) > 0:
+                end = ("t", x)
+                break
+            for s, t in sorted(room):
+                to = ("t", t) if kind == "s" and s == x and flow[s, t] < room[s, t] else ("s", s) if kind == "t" and t == x and flow[s, t] > 0 else None
+                if to and to not in came:
+                    came[to] = (kind, x)
+                    queue.append(to)
+        if end is None:
+            raise ValueError(f"the quotas of {sorted(s for s in need if need[s] > 0)} and the strata cannot both be met")
+        path, at = [], end
+        while came[at]:
+            path.append((came[at], at))
+            at = came[at]
+        cell = lambda e: (e[0][1], e[1][1]) if e[0][0] == "s" else (e[1][1], e[0][1])
+        most = min([need[at[1]], open_[end[1]]] + [room[cell(e)] - flow[cell(e)] if e[0][0] == "s" else flow[cell(e)] for e in path])
+        for e in path:
+            flow[cell(e)] += most if e[0][0] == "s" else -most
+        need[at[1]] -= most
+        open_[end[1]] -= most
     return {k: v for k, v in flow.items() if v}
 
 

@@ -46,7 +46,9 @@ def adapter_classification(spark, d):
 _STS = "cache_qwen3_reranker_scores"
 
 
-@query()
+@query(f"""WITH s AS (SELECT * FROM {_STS} WHERE candidate_id IS NOT NULL AND text_sha256 IS NOT NULL), pool AS (SELECT text_sha256 AS negative, row_number() OVER (ORDER BY score_row_id) - 1 AS slot FROM s WHERE reranker_score <= 0.1),
+g AS (SELECT score_row_id, candidate_id AS query, text_sha256 AS positive, CAST('0x' || substr(sha256(candidate_id), 1, 15) AS BIGINT) % (SELECT count(*) FROM pool) AS slot FROM s WHERE reranker_score >= 0.9)
+SELECT score_row_id, query, positive, [negative] AS negatives FROM g JOIN pool USING (slot)""")
 def adapter_sts_pool(spark, d):
     s = table(spark, d, _STS).where("candidate_id is not null and text_sha256 is not null")
     return ad.source("sts_pairs")(s, "score_row_id", "candidate_id", "text_sha256", "reranker_score", 0.9, 0.1)
@@ -102,7 +104,11 @@ def idf_table(spark, d):
     return ho.idf(pairs(spark, d), "row_id", "query").select("feature", "df", F.round("idf", 6).alias("idf"))
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, p AS (SELECT * FROM ({_FULL}) r WHERE repository IS NOT NULL), f AS (SELECT row_id, repository, unnest({_FEAT.replace('{0}', 'query')}) AS feature FROM p),
+w AS (SELECT feature, ln(((SELECT count(*) FROM p) + 1) / (count(*) + 1)) + 1 AS idf FROM f GROUP BY 1),
+s AS (SELECT a.row_id AS query_id, b.row_id AS corpus_id, sum(idf) AS score FROM f a JOIN f b ON a.repository = b.repository AND a.feature = b.feature AND a.row_id <> b.row_id JOIN w ON w.feature = a.feature WHERE a.row_id % 100 = 0 GROUP BY 1, 2),
+u AS (SELECT a.row_id AS query_id, b.row_id AS corpus_id, coalesce(score, 0) AS score FROM p a JOIN p b ON a.repository = b.repository AND a.row_id <> b.row_id LEFT JOIN s ON s.query_id = a.row_id AND s.corpus_id = b.row_id WHERE a.row_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sha256('lex' || chr(0) || corpus_id), corpus_id) AS rank FROM u) SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM r WHERE rank <= 4""")
 def lexical_hard_negatives(spark, d):
     p = _full(spark, d).where("repository is not null")
     q = p.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.col("repository").alias("grp"), F.col("row_id").alias("own"), F.col("query").alias("text"))

@@ -136,7 +136,9 @@ def shingle_counts(spark, d):
     return x
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, x AS (SELECT row_id, replace(query, ' ', '') AS q, replace(positive, ' ', '') AS t FROM pairs),
+n AS (SELECT row_id, max(n) AS n FROM x, range(1, 2000) a(n) WHERE n <= length(q) AND len(list_filter(range(1, length(q) - n + 2), lambda i: contains(t, substr(q, i, n)))) > 0 GROUP BY 1)
+SELECT row_id, CASE WHEN q IS NULL OR t IS NULL THEN NULL WHEN length(q) = 0 THEN 0.0 ELSE round(coalesce(n.n, 0) / length(q), 6) END AS coverage FROM x LEFT JOIN n USING (row_id)""")
 def copy_coverage(spark, d):
     return pairs(spark, d).select("row_id", F.round(tx.copied_share("query", "positive"), 6).alias("coverage"))
 

@@ -2,13 +2,14 @@
 
 Everything that must survive a lost executor is written to the folder named by
 ``spark.checkpoint.dir``. The setting is read from the session; only where it is
-unset (tests, a laptop) a folder of our own is chosen.
+unset and Spark runs in one process (tests, a laptop) a folder of our own is chosen.
 """
 
 from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; on a cluster it must be set."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         set_to = "file://" + os.path.join(tempfile.gettempdir(), f"pairloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")

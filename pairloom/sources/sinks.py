@@ -27,6 +27,8 @@ def write_versioned(df: DataFrame, root: str, version: str, **about: object) ->
     """
     spark, path = df.sparkSession, f"{root}/{version}"
     if (done := manifest(spark, root, version)) is not None:
+        if content_digest(spark.read.parquet(path)) != done["digest"]:
+            raise ValueError(f"{path} is not what its manifest says")
         return done
     df.write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path)
@@ -36,14 +38,16 @@ def write_versioned(df: DataFrame, root: str, version: str, **about: object) ->
 
 
 def _put(spark, path: str, text: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(path + ".writing")
-    out = fs.create(tmp, True)
+    """Write a small file beside ``path`` and rename it over: a reader sees the old text or the new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".writing")
+    out = p.getFileSystem(conf).create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = p.getFileSystem(conf).makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(p.getFileSystem(conf).makeQualified(tmp), qualified, over)
 
 
 def manifest(spark, root: str, version: str) -> dict | None:
@@ -83,9 +87,12 @@ def write_beir(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, root: st
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small report table as Markdown (at most ``most`` rows of a report, not of data)."""
+    """A small report table as Markdown; more than ``most`` rows are data and no report: an error."""
     cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    rows = [df.columns, ["---"] * len(df.columns)] + [[cell(v) for v in r] for r in df.limit(most).collect()]
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    rows = [df.columns, ["---"] * len(df.columns)] + [[cell(v) for v in r] for r in found]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
