@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.session import materialize
+
 
 def canonical_text(c: Column) -> Column:
     """Lower case, without white space and punctuation (Unicode category P)."""
@@ -44,6 +46,7 @@ def formatting_classes(df: DataFrame, key: str, text: str, record: str) -> tuple
         _raw_key("__text", "__record").alias("raw_key"), "n", "first",
         canonical_text(F.col("__text")).alias("canon_text"), canonical_json(F.col("__record")).alias("canon_record"),
     )
+    canon = materialize(canon, "canon")  # read for the classes and for the variants
     by_form = canon.groupBy("canon_text", "canon_record").agg(F.min("first").alias("representative"), F.sum("n").alias("copies"))
     classes = by_form.select("representative", "copies")
     several = by_form.where(F.col("copies") > 1).withColumnsRenamed({"canon_text": "ct", "canon_record": "cr"})
