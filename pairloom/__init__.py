@@ -1,3 +1,3 @@
-"""pairloom: DataFrame operators for text-pair, embedding and event data on Spark."""
+"""pairloom: DataFrame operators for text pairs, vectors and events on Spark."""
 
 __version__ = "0.1.0"

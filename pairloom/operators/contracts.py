@@ -145,3 +145,18 @@ def unique_pairs(df: DataFrame, key: str, pair: list[str]) -> DataFrame:
     ok = F.when(F.col("__lo") == F.col("__hi"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("id with two pairs: "), F.col(key).cast("string"))))
     first = Window.partitionBy("__p").orderBy(key)
     return same.where(ok).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__p", "__lo", "__hi", "__n")
+
+
+def matched_responses(requests: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+    """``(key, requests, responses, state)`` of every id on either side of an offline run.
+
+    ``matched``, ``missing_response``, ``unexpected_response``, and ``repeated_request`` or
+    ``repeated_response`` for an id that one side has more than once. Null ids are left out.
+    """
+    count = lambda t, n: t.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    j = count(requests, "requests").join(count(responses, "responses"), key, "full").fillna(0, ["requests", "responses"])
+    state = (
+        F.when(F.col("requests") > 1, "repeated_request").when(F.col("requests") == 0, "unexpected_response").when(F.col("responses") == 0, "missing_response")
+        .when(F.col("responses") > 1, "repeated_response").otherwise("matched")
+    )
+    return j.withColumn("state", state)

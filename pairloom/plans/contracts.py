@@ -154,3 +154,12 @@ def union_by_role(spark, d):
 def content_addressed_corpus(spark, d):
     x = table(spark, d, "documents").where("text is not null")
     return x.groupBy(F.col("source").alias("domain"), F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"""WITH a AS (SELECT generated_id, count(*) AS requests FROM grounded_synthetic_query_factory WHERE generated_id IS NOT NULL GROUP BY 1), b AS (SELECT generated_id, count(*) AS responses FROM {_CACHE} WHERE role = 'positive' AND generated_id IS NOT NULL GROUP BY 1),
+j AS (SELECT coalesce(a.generated_id, b.generated_id) AS generated_id, coalesce(requests, 0) AS requests, coalesce(responses, 0) AS responses FROM a FULL JOIN b ON a.generated_id = b.generated_id)
+SELECT *, CASE WHEN requests > 1 THEN 'repeated_request' WHEN requests = 0 THEN 'unexpected_response' WHEN responses = 0 THEN 'missing_response' WHEN responses > 1 THEN 'repeated_response' ELSE 'matched' END AS state FROM j""")
+def matched_responses(spark, d):
+    """Generated rows as requests, scored positives as their responses."""
+    scored = table(spark, d, _CACHE).where("role = 'positive'")
+    return ct.matched_responses(table(spark, d, "grounded_synthetic_query_factory").select("generated_id"), scored.select("generated_id"), "generated_id")
