@@ -77,21 +77,22 @@ def config_problems(df: DataFrame, key: str, column: str, sensitive: list[str])
     return x.select(key, "path", F.coalesce(F.when(named, "sensitive_key"), secret_like(F.col("value"))).alias("rule")).where("rule is not null")
 
 
-def ancestry(df: DataFrame, node: str, parent: str, rounds: int = 40) -> DataFrame:
+def ancestry(df: DataFrame, node: str, parent: str) -> DataFrame:
     """``(node, root, depth)`` by pointer doubling; nodes on or below a cycle have a null root.
 
     Each round joins the table with itself on the pointer and doubles the distance, so
-    ``log2(depth)`` rounds do; ``rounds`` only bounds cyclic input.
+    ``log2(depth)`` rounds do. A chain has nodes at every depth, so some reach their root in every
+    round; once none does, only cycles are left.
     """
     at = df.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("bigint").alias("d"))
     roots = at.where("p is null").select(F.col("n").alias("root"))
     size = None
-    for _ in range(rounds):
+    while True:
         at = materialize(at, "lineage")
         up = at.select(F.col("n").alias("__n"), F.col("p").alias("__p"), F.col("d").alias("__d"))
         at = at.join(up, F.col("p") == F.col("__n"), "left").select("n", F.when(F.col("__p").isNull(), F.col("p")).otherwise(F.col("__p")).alias("p"), (F.col("d") + F.when(F.col("__p").isNull(), 0).otherwise(F.col("__d"))).alias("d"))
         moving = at.join(roots, F.col("p") == F.col("root"), "left_anti").where("p is not null").count()
-        if moving == 0 or moving == size and _ > 30:
+        if moving in (0, size):
             break
         size = moving
     top = at.join(roots, F.coalesce("p", "n") == F.col("root"), "left")

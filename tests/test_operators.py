@@ -257,3 +257,10 @@ def test_hot_group_is_spread(spark):
     got = joins.join_unique(left, "k", right, most=50)
     assert got.columns == ["k", "id", "v"] and got.groupBy("k").count().sort("k").collect() == [("hot", 3333), ("k0", 1), ("k3", 1)]
     assert joins.join_unique(left.limit(0), "k", right).count() == 0
+
+
+def test_lineage_of_a_long_chain_beside_a_cycle(spark):
+    rows = [(0, None)] + [(i, i - 1) for i in range(1, 150)] + [(500, 501), (501, 500), (502, 500), (600, 999)]
+    got = {r["n"]: (r["root"], r["depth"]) for r in ct.ancestry(spark.createDataFrame(rows, "n int, p int"), "n", "p").collect()}
+    assert all(got[i] == (0, i) for i in range(150))
+    assert all(got[i][0] is None for i in (500, 501, 502, 600))
